@@ -106,3 +106,36 @@ class Union:
         self.up[b] = a
         self.up.setdefault(a, a)
         return True
+
+
+def _local_forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Replace a partition's edges by a spanning forest of stars."""
+    union = Union()
+    for batch in batches:
+        for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            union.join(a, b)
+    rows = [(x, r) for x in list(union.up) if (r := union.find(x)) != x]
+    if rows:
+        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64())], names=["a", "b"])
+
+
+def connected_components(edges: DataFrame) -> DataFrame:
+    """(id, component) for each id in edges (a, b); component is the least id reachable.
+
+    Large-star and small-star rounds on tables in shared storage until only stars are left. A
+    star's centre may have any number of edges: they are joined, never gathered.
+    """
+    from pyspark.sql import functions as F
+
+    e = materialize(edges.selectExpr("cast(a as long) a", "cast(b as long) b").mapInArrow(_local_forest, "a long, b long").distinct(), "edges")
+    while True:
+        many = e.groupBy("a").count().where("count > 1").select("a")
+        chained = e.select(F.col("b").alias("a")).join(e.select("a"), "a", "left_semi")
+        if many.unionByName(chained).isEmpty():
+            return e.selectExpr("a as id", "b as component").unionByName(e.selectExpr("b as id", "b as component").distinct())
+        both = e.unionByName(e.selectExpr("b as a", "a as b"))
+        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+        large = both.where("b > a").join(least, "a").where("b > m").selectExpr("b as a", "m as b").distinct()
+        low = large.groupBy("a").agg(F.min("b").alias("m"))
+        small = large.join(low, "a").where("b > m").selectExpr("b as a", "m as b").unionByName(low.selectExpr("a", "m as b")).distinct()
+        e = materialize(small, "edges")

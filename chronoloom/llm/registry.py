@@ -48,11 +48,23 @@ def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_round(table(spark, sf_dir, "documents"), word_bpe())
 
 
+def op5_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from chronoloom.llm.jaccard import jaccard_components
+
+    return jaccard_components(table(spark, sf_dir, "documents"), n=4, num=85, den=100)
+
+
+def op6_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from chronoloom.llm.lattice import near_vectors
+
+    return near_vectors(table(spark, sf_dir, "embeddings"), least=0.98)
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from chronoloom.llm.packing import pack_documents
 
     return pack_documents(table(spark, sf_dir, "documents"), byte_bpe(), end_id=0, window=1024)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_toxicity, op2_quality, op3_token_shards, op4_bpe, op7_packing)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_toxicity, op2_quality, op3_token_shards, op4_bpe, op5_jaccard, op6_lattice, op7_packing)}
 SQL: dict[str, str] = {}
