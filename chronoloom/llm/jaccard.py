@@ -23,6 +23,7 @@ has a null component; other columns are ignored; an empty table gives no rows.
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import groupby
@@ -60,17 +61,19 @@ class Bands:
         self.num, self.den = num, den
         self.low = [1, 2]
 
+    def grow(self) -> None:
+        # above any partner of the sizes in the band before
+        self.low.append(max(self.low[-1] + 1, (self.low[-1] - 1) * self.den // self.num + 1))
+
     def band(self, size: int) -> int:
         while self.low[-1] <= size:
-            # above any partner of the sizes in the band before
-            self.low.append(max(self.low[-1] + 1, (self.low[-1] - 1) * self.den // self.num + 1))
-        return int(np.searchsorted(self.low, size, "right")) - 1
+            self.grow()
+        return bisect_right(self.low, size) - 1
 
     def differences(self, k: int) -> int:
         """Most differing shingles between a set of band k and a larger one."""
-        self.band(self.low[-1])
         while len(self.low) < k + 2:
-            self.band(self.low[-1])
+            self.grow()
         a = self.low[k + 1] - 1
         return (self.den - self.num) * (a + a * self.den // self.num) // (self.den + self.num)
 
