@@ -66,5 +66,23 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), byte_bpe(), end_id=0, window=1024)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_toxicity, op2_quality, op3_token_shards, op4_bpe, op5_jaccard, op6_lattice, op7_packing)}
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from chronoloom.llm.suffix_dedup import suffix_dedup
+
+    return suffix_dedup(table(spark, sf_dir, "documents"), window=400).drop("starts", "ends")
+
+
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from chronoloom.llm.substring_dedup import substring_dedup
+
+    return substring_dedup(table(spark, sf_dir, "documents"), window=50)
+
+
+def op10_stupid_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from chronoloom.llm.stupid_backoff import backoff_scores
+
+    return backoff_scores(table(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_toxicity, op2_quality, op3_token_shards, op4_bpe, op5_jaccard, op6_lattice, op7_packing, op8_suffix_dedup, op9_substring_dedup, op10_stupid_backoff)}
 SQL: dict[str, str] = {}
