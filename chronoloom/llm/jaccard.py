@@ -31,7 +31,7 @@ from itertools import groupby
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from chronoloom.llm.common import Union, connected_components, materialize, mix64, runs, shuffle_width, texts_of, window_hashes
@@ -290,3 +290,14 @@ def jaccard_components(docs: DataFrame, n: int, num: int, den: int, block: int =
         sets.join(classes, "digest", "left").join(linked, "rep", "left")
         .select("doc_id", "n_shingles", F.coalesce("component", "rep", "doc_id").alias("component_id"))
     )
+
+
+def one_of_each(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> DataFrame:
+    """The documents, all columns, without those that link to one of a smaller doc_id; of rows that repeat a doc_id one stays."""
+    found = materialize(jaccard_components(docs, n, num, den), "components")
+    kept = docs.join(found.where("doc_id <> component_id").select("doc_id").distinct(), "doc_id", "left_anti").select(docs.columns)
+    again = found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1")
+    if again.isEmpty():
+        return kept
+    first = F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))
+    return kept.withColumn("_place", first).where("_place = 1 or doc_id is null").drop("_place")

@@ -138,3 +138,15 @@ def _score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def repetition_quality(docs: DataFrame) -> DataFrame:
     """Per document the base counts, shares of duplicated text and whether it is kept."""
     return docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(_score, SCHEMA)
+
+
+def keep_quality(docs: DataFrame) -> DataFrame:
+    """The rows, with all their columns, that the rules keep."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, 512):
+                batch = whole.slice(at, 512)
+                yield batch.filter(pa.array(measure(texts_of(batch))["kept"]))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -208,8 +208,8 @@ def repeated_starts(parts: list[bytes], window: int) -> list[np.ndarray]:
     return out
 
 
-def suffix_dedup(docs: DataFrame, window: int = 400, gram: int = 64, shard_bytes: int = 1 << 20) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans and kept_sha256, and the spans themselves."""
+def repeated_spans(docs: DataFrame, window: int = 400, gram: int = 64, shard_bytes: int = 1 << 20) -> DataFrame:
+    """Per document that has any, the bytes to remove: doc_id, starts and ends, which may overlap."""
     docs = docs.selectExpr("cast(doc_id as long) doc_id", "text")
     rows = materialize(region_rows(docs, Bytes(window, gram)), "regions")
     classes = materialize(rows.groupBy("fp", "digest").agg(F.min(F.struct("doc_id", "lo", "hi")).alias("rep"), F.count("*").alias("times")), "classes")
@@ -261,6 +261,13 @@ def suffix_dedup(docs: DataFrame, window: int = 400, gram: int = 64, shard_bytes
     parts = with_texts(docs, wanted, "inner", slices, "fp long, doc_id long, lo long, single boolean, data binary")
     shared = parts.repartition("fp").sortWithinPartitions("fp", "doc_id", "lo").mapInArrow(sort_shards, "doc_id long, start long, end long")
 
+    return spans_of(whole.unionByName(shared))
+
+
+def suffix_dedup(docs: DataFrame, window: int = 400, gram: int = 64, shard_bytes: int = 1 << 20) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans and kept_sha256, and the spans themselves."""
+    docs = docs.selectExpr("cast(doc_id as long) doc_id", "text")
+
     def cut(docs_: Iterator[tuple]) -> Iterator[pa.RecordBatch]:
         names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "starts", "ends"]
         out = []
@@ -281,4 +288,31 @@ def suffix_dedup(docs: DataFrame, window: int = 400, gram: int = 64, shard_bytes
         kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.int64()), pa.list_(pa.int64()))
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names=names)
 
-    return with_texts(docs, spans_of(whole.unionByName(shared)), "left", cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, starts array<long>, ends array<long>")
+    return with_texts(docs, repeated_spans(docs, window, gram, shard_bytes), "left", cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, starts array<long>, ends array<long>")
+
+
+def cut_texts(docs: DataFrame, window: int = 400) -> DataFrame:
+    """The documents, all columns, without the repeated bytes; of a character that a cut divides nothing stays. n_chars, if there, is counted anew."""
+    names = docs.columns
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            starts, ends = b.column(b.num_columns - 2).to_pylist(), b.column(b.num_columns - 1).to_pylist()
+            texts = []
+            for text, s, e in zip(b.column(names.index("text")).to_pylist(), starts, ends, strict=True):
+                if s:
+                    data, kept, at = text.encode(), [], 0
+                    for x, y in merged(s, e):
+                        kept.append(data[at:x])
+                        at = y
+                    text = b"".join([k.decode("utf-8", "ignore").encode() for k in [*kept, data[at:]]]).decode()
+                texts.append(text)
+            columns = list(b.columns[:-2])
+            columns[names.index("text")] = pa.array(texts, pa.string())
+            if "n_chars" in names:
+                at = names.index("n_chars")
+                columns[at] = pa.array([n if s is None else len(t) for n, s, t in zip(b.column(at).to_pylist(), starts, texts, strict=True)], b.column(at).type)
+            yield pa.RecordBatch.from_arrays(columns, names=names)
+
+    spans = repeated_spans(docs, window)
+    return docs.join(spans, "doc_id", "left").select(*[docs[c] for c in names], "starts", "ends").mapInArrow(cut, docs.schema)

@@ -231,3 +231,17 @@ def score_toxicity(docs: DataFrame, model: Model) -> DataFrame:
             )
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(held_out(), F.lit(False)).alias("held_out"), "text").mapInArrow(run, SCHEMA)
+
+
+def drop_toxic(docs: DataFrame, model: Model, limit: float = 0.5) -> DataFrame:
+    """The rows, with all their columns, whose score is below the limit."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    at = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = shared.value
+        vocabulary = Vocabulary(m.terms)
+        for batch in batches:
+            yield batch.filter(pa.array([m.score(vocabulary.counts(t or ""))[0] < limit for t in batch.column(at).to_pylist()], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
