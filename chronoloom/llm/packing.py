@@ -27,6 +27,8 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
+from chronoloom.llm.encoders import load_encoder
+
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
@@ -127,14 +129,14 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, end_id: int = 0, window
         return pa.RecordBatch.from_arrays([pa.array(list(c), pa.int64()) for c in zip(*rows, strict=True)], names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = load_tokenizer(tokenizer_path)
+        encode = load_encoder(tokenizer_path)
         pool, held = Pool(window, (TaskContext.get().partitionId() + 1) << 40), 0
         for whole in batches:
             for at in range(0, whole.num_rows, 256):
                 batch = whole.slice(at, 256)
                 texts = [x or "" for x in batch.column(1).to_pylist()]
-                for doc_id, e in zip(batch.column(0).to_pylist(), encode(texts), strict=True):
-                    pool.full(doc_id, np.array([*e.ids, end_id], np.uint32))
+                for doc_id, ids in zip(batch.column(0).to_pylist(), encode(texts), strict=True):
+                    pool.full(doc_id, np.append(ids, np.uint32(end_id)))
                 held += batch.num_rows
                 if held >= pool_docs:
                     if rows := list(pool.drain(False)):
@@ -144,16 +146,3 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, end_id: int = 0, window
             yield batch_of(rows)
 
     return docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(run, SCHEMA)
-
-
-def load_tokenizer(path: str):
-    """encode_batch of the tokenizer file, without truncation, padding or own threads."""
-    import os
-
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    from tokenizers import Tokenizer
-
-    t = Tokenizer.from_file(path)
-    t.no_truncation()
-    t.no_padding()
-    return lambda texts: t.encode_batch_fast(texts, add_special_tokens=False)

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from chronoloom.llm.common import materialize, shared_dir
-from chronoloom.llm.packing import load_tokenizer
+from chronoloom.llm.encoders import load_encoder
 
 MAGIC = b"LOOMSST1"
 FOOTER = struct.Struct("<8sQQQQIQQII16x")
@@ -183,13 +183,13 @@ def write_token_shards(docs: DataFrame, path: str, tokenizer_path: str, end_id:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, writer = load_tokenizer(tokenizer_path), None
+        encode, writer = load_encoder(tokenizer_path), None
         for whole in batches:
             for at in range(0, whole.num_rows, 256):
                 batch, out = whole.slice(at, 256), []
-                for doc_id, e in zip(batch.column(0).to_pylist(), encode([x or "" for x in batch.column(1).to_pylist()]), strict=True):
+                for doc_id, ids in zip(batch.column(0).to_pylist(), encode([x or "" for x in batch.column(1).to_pylist()]), strict=True):
                     writer = writer or ShardWriter(_vocabulary_width(tokenizer_path, end_id), block_bytes)
-                    if section := writer.add(doc_id, np.array([*e.ids, end_id], np.uint32)):
+                    if section := writer.add(doc_id, np.append(ids, np.uint32(end_id))):
                         out.append(section)
                 if out:
                     yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["section"])
