@@ -53,7 +53,7 @@ class Vocabulary:
         for w in WORD.findall(text.lower()):
             hit = known.get(w)
             if hit is None:
-                if len(known) >= 300_000:
+                if len(known) >= 100_000:
                     known.clear()
                 hit = known[w] = tuple(self.terms[t] for t in terms_of(w) if t in self.terms)
             if hit:

@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from chronoloom.llm.common import materialize
+from chronoloom.llm.common import materialize, small_batches
 from chronoloom.llm.jaccard import one_of_each
 from chronoloom.llm.packing import pack_documents
 from chronoloom.llm.quality import keep_quality
@@ -18,26 +18,31 @@ from chronoloom.llm.toxicity import drop_toxic, fit_toxicity
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts that the base or the repetition rules reject go."""
+    small_batches(spark)
     return keep_quality(docs)
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts with a score of 0.5 or more go."""
+    small_batches(spark)
     return drop_toxic(docs, fit_toxicity(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Five-word shingles, Jaccard similarity of 0.8: the least doc_id of each group stays."""
+    small_batches(spark)
     return one_of_each(docs, n=5, num=80, den=100)
 
 
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Strings of 400 bytes that occur more than once are cut out."""
+    small_batches(spark)
     return cut_texts(docs, window=400)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sequences of 1,024 tokens."""
+    small_batches(spark)
     return pack_documents(docs, byte_bpe(), end_id=0, window=1024)
 
 
