@@ -19,7 +19,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chronoloom.llm.common import mix64, runs, texts_of, window_hashes
+from chronoloom.llm.common import mix64, runs, texts_of, trimmed, window_hashes
 
 REGION = "fp long, digest long, doc_id long, lo long, hi long"
 
@@ -118,7 +118,7 @@ def region_rows(docs: DataFrame, kind: Bytes | Words) -> DataFrame:
                 if cols[0]:
                     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c).astype(np.int64)) for c in cols], names=names)
 
-    return docs.mapInArrow(run, REGION)
+    return docs.mapInArrow(trimmed(run), REGION)
 
 
 def with_texts(docs: DataFrame, other: DataFrame, how: str, fn: Callable[[Iterator[tuple]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
@@ -134,8 +134,8 @@ def with_texts(docs: DataFrame, other: DataFrame, how: str, fn: Callable[[Iterat
         rows = ((x[0], reader.decompress(x[1]), *x[2:]) for b in batches for x in zip(*(c.to_pylist() for c in b.columns), strict=True))
         yield from fn(rows)
 
-    small = docs.mapInArrow(squeeze, "doc_id long, packed binary")
-    return small.join(other, "doc_id", how).select("doc_id", "packed", *[c for c in other.columns if c != "doc_id"]).mapInArrow(run, schema)
+    small = docs.mapInArrow(trimmed(squeeze), "doc_id long, packed binary")
+    return small.join(other, "doc_id", how).select("doc_id", "packed", *[c for c in other.columns if c != "doc_id"]).mapInArrow(trimmed(run), schema)
 
 
 def spans_of(rows: DataFrame) -> DataFrame:

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -43,6 +44,20 @@ def small_batches(spark: SparkSession, rows: int = 1000) -> None:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
+def trimmed(fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The function, after which a Python worker that waits for its next task gives its free memory back."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from fn(batches)
+        pa.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL(None).malloc_trim(0)
+        except AttributeError:
+            pass  # another C library
+
+    return run
+
+
 def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -129,7 +144,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
     """
     from pyspark.sql import functions as F
 
-    e = materialize(edges.selectExpr("cast(a as long) a", "cast(b as long) b").mapInArrow(_local_forest, "a long, b long").distinct(), "edges")
+    e = materialize(edges.selectExpr("cast(a as long) a", "cast(b as long) b").mapInArrow(trimmed(_local_forest), "a long, b long").distinct(), "edges")
     while True:
         many = e.groupBy("a").count().where("count > 1").select("a")
         chained = e.select(F.col("b").alias("a")).join(e.select("a"), "a", "left_semi")

@@ -12,7 +12,8 @@ blocks, a block per task and partition.
 Joining. The different sets of a cluster form a signature tree: leaves of eight sets, each node with the OR
 and the AND of its sets' bitmaps and the range of sizes. A dual traversal drops node pairs whose largest
 possible overlap is too small, or that are already one component, and compares the rest exactly. Clusters of more than
-``block`` sets are cut into blocks, and each pair of blocks is a task of its own.
+``block`` sets are cut by size bands, so that a set meets only sets of a fitting size, and those into blocks, each pair of
+which is a task of its own.
 
 Copies: equal sets are one class with its least doc_id; only class representatives are compared.
 
@@ -34,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from chronoloom.llm.common import Union, connected_components, materialize, mix64, runs, shuffle_width, texts_of, window_hashes
+from chronoloom.llm.common import Union, connected_components, materialize, mix64, runs, shuffle_width, texts_of, trimmed, window_hashes
 
 K1, K2, K3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
 
@@ -180,9 +181,9 @@ def candidate_edges(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
         if rows:
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64())], names=["a", "b"])
 
-    blocks = docs.mapInArrow(emit, "part int, block binary").repartitionById(width, F.col("part"))
-    stars = blocks.mapInArrow(meet, "part int, block binary").repartitionById(width, F.col("part"))
-    return stars.mapInArrow(merge, "a long, b long")
+    blocks = docs.mapInArrow(trimmed(emit), "part int, block binary").repartitionById(width, F.col("part"))
+    stars = blocks.mapInArrow(trimmed(meet), "part int, block binary").repartitionById(width, F.col("part"))
+    return stars.mapInArrow(trimmed(merge), "a long, b long")
 
 
 class SignatureTree:
@@ -260,19 +261,24 @@ def jaccard_components(docs: DataFrame, n: int, num: int, den: int, block: int =
             sets = [shingles(t, n) for t in texts_of(batch)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(u) for u in sets], pa.int64()), pa.array([digest_of(u) if len(u) else None for u in sets], pa.binary())], names=["doc_id", "n_shingles", "digest"])
 
-    sets = materialize(docs.mapInArrow(measure, "doc_id long, n_shingles long, digest binary"), "sets")
+    sets = materialize(docs.mapInArrow(trimmed(measure), "doc_id long, n_shingles long, digest binary"), "sets")
     near = connected_components(candidate_edges(docs, n, num, den))
     full = sets.where("digest is not null and doc_id is not null")
-    classes = full.groupBy("digest").agg(F.min("doc_id").alias("rep"))
+    classes = full.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.max("n_shingles").alias("size"))
     clusters = full.join(near.withColumnRenamed("id", "doc_id"), "doc_id").groupBy("digest").agg(F.min("component").alias("cluster"))
     members = materialize(classes.join(clusters, "digest"), "classes")
-    sizes = members.groupBy("cluster").agg(F.count("*").alias("size")).where("size > 1").select("cluster", F.ceil(F.col("size") / block).cast("int").alias("blocks"))
-    wanted = members.join(sizes, "cluster").withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+    clusters_of = members.groupBy("cluster").agg(F.count("*").alias("members")).where("members > 1")
+    # partners' sizes differ by at most den/num: in a large cluster a set meets its own size band and the next one
+    band = F.floor(F.log(F.col("size").cast("double")) / F.log(F.lit(1.001 * den / num))).cast("int")
+    bands = F.when(F.col("members") > block, F.array(band, band - 1)).otherwise(F.array(F.lit(-2)))
+    banded = members.join(clusters_of, "cluster").select("cluster", "rep", "digest", F.explode(bands).alias("band"))
+    sizes = banded.groupBy("cluster", "band").agg(F.count("*").alias("n")).where("n > 1").select("cluster", "band", F.ceil(F.col("n") / block).cast("int").alias("blocks"))
+    wanted = banded.join(sizes, ["cluster", "band"]).withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
 
     def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = (r for b in batches for r in zip(*(b.column(c).to_pylist() for c in ("cluster", "i", "j", "rep", "digest")), texts_of(b), strict=True))
-        for _, group in groupby(rows, key=lambda r: r[:3]):
-            own = {r[3]: u for r in group if digest_of(u := shingles(r[5], n)) == r[4]}
+        rows = (r for b in batches for r in zip(*(b.column(c).to_pylist() for c in ("cluster", "band", "i", "j", "rep", "digest")), texts_of(b), strict=True))
+        for _, group in groupby(rows, key=lambda r: r[:4]):
+            own = {r[4]: u for r in group if digest_of(u := shingles(r[6], n)) == r[5]}
             ids, union = list(own), Union()
             for a, b in SignatureTree(list(own.values()), num, den).forest() if len(own) > 1 else ():
                 union.join(ids[a], ids[b])
@@ -282,12 +288,12 @@ def jaccard_components(docs: DataFrame, n: int, num: int, den: int, block: int =
 
     paired = (
         docs.join(wanted, docs["doc_id"] == wanted["rep"]).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .select("cluster", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "rep", "digest", "text")
-        .repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j", "rep")
+        .select("cluster", "band", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "rep", "digest", "text")
+        .repartition("cluster", "band", "i", "j").sortWithinPartitions("cluster", "band", "i", "j", "rep")
     )
-    linked = connected_components(paired.mapInArrow(link, "a long, b long")).withColumnRenamed("id", "rep")
+    linked = connected_components(paired.mapInArrow(trimmed(link), "a long, b long")).withColumnRenamed("id", "rep")
     return (
-        sets.join(classes, "digest", "left").join(linked, "rep", "left")
+        sets.join(classes.select("digest", "rep"), "digest", "left").join(linked, "rep", "left")
         .select("doc_id", "n_shingles", F.coalesce("component", "rep", "doc_id").alias("component_id"))
     )
 

@@ -27,6 +27,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
+from chronoloom.llm.common import trimmed
 from chronoloom.llm.encoders import load_encoder
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -145,4 +146,4 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, end_id: int = 0, window
         if rows := list(pool.drain(True)):
             yield batch_of(rows)
 
-    return docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(run, SCHEMA)
+    return docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(trimmed(run), SCHEMA)

@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from chronoloom.llm.common import mix64, runs, texts_of
+from chronoloom.llm.common import mix64, runs, texts_of, trimmed
 
 SPACE = b" \t\n\x0b\x0c\r"
 SYMBOLS = b"#*$%&|<>"
@@ -137,7 +137,7 @@ def _score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def repetition_quality(docs: DataFrame) -> DataFrame:
     """Per document the base counts, shares of duplicated text and whether it is kept."""
-    return docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(_score, SCHEMA)
+    return docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(trimmed(_score), SCHEMA)
 
 
 def keep_quality(docs: DataFrame) -> DataFrame:
@@ -149,4 +149,4 @@ def keep_quality(docs: DataFrame) -> DataFrame:
                 batch = whole.slice(at, 512)
                 yield batch.filter(pa.array(measure(texts_of(batch))["kept"]))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(trimmed(run), docs.schema)

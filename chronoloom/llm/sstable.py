@@ -32,7 +32,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from chronoloom.llm.common import materialize, shared_dir
+from chronoloom.llm.common import materialize, shared_dir, trimmed
 from chronoloom.llm.encoders import load_encoder
 
 MAGIC = b"LOOMSST1"
@@ -197,7 +197,7 @@ def write_token_shards(docs: DataFrame, path: str, tokenizer_path: str, end_id:
             yield pa.RecordBatch.from_arrays([pa.array(writer.finish(), pa.binary())], names=["section"])
 
     ordered = docs.selectExpr("cast(doc_id as long) doc_id", "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    sections = ordered.mapInArrow(run, "section binary")
+    sections = ordered.mapInArrow(trimmed(run), "section binary")
     sections.select(F.col("section").cast("string").alias("value")).write.option("compression", "none").text(path)
 
 
@@ -219,7 +219,7 @@ def read_token_shards(spark: SparkSession, path: str) -> DataFrame:
                 )
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("path", "content")
-    return files.mapInArrow(run, "shard string, slot long, doc_id long, before long, n_tokens long, ids_crc32 long")
+    return files.mapInArrow(trimmed(run), "shard string, slot long, doc_id long, before long, n_tokens long, ids_crc32 long")
 
 
 def hadoop_reader(spark: SparkSession, file: str) -> Callable[[int, int], bytes]:

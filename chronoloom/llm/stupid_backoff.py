@@ -30,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chronoloom.llm.common import materialize, runs, shuffle_width, texts_of, window_hashes
+from chronoloom.llm.common import materialize, runs, shuffle_width, texts_of, trimmed, window_hashes
 
 ORDERS = 3
 CHUNK = "chunk long, doc_ids array<long>, words long, payload binary"
@@ -141,10 +141,10 @@ def backoff_scores(docs: DataFrame, chunk_words: int = 1 << 20, key_bits: int =
                 answer = _squeeze(_narrow(sums[np.searchsorted(known, k)]))
                 yield pa.RecordBatch.from_arrays([pa.array([chunk], pa.int64()), pa.array([n], pa.int32()), pa.array([p], pa.int32()), pa.array([None], pa.list_(pa.int64())), pa.array([answer], pa.binary())], names=["chunk", "order", "part", "doc_ids", "payload"])
 
-    chunks = materialize(docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(gather, CHUNK), "chunks")
+    chunks = materialize(docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(trimmed(gather), CHUNK), "chunks")
     words = chunks.agg(F.sum("words")).first()[0] or 0
-    asked = chunks.select("chunk", "payload").mapInArrow(explode, "part int, order int, chunk long, payload binary").repartitionById(width, F.col("part"))
-    answers = asked.mapInArrow(total, "chunk long, order int, part int, doc_ids array<long>, payload binary")
+    asked = chunks.select("chunk", "payload").mapInArrow(trimmed(explode), "part int, order int, chunk long, payload binary").repartitionById(width, F.col("part"))
+    answers = asked.mapInArrow(trimmed(total), "chunk long, order int, part int, doc_ids array<long>, payload binary")
     own = chunks.select("chunk", F.lit(0).alias("order"), F.lit(0).alias("part"), "doc_ids", "payload")
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -187,7 +187,7 @@ def backoff_scores(docs: DataFrame, chunk_words: int = 1 << 20, key_bits: int =
             )
 
     joined = own.unionByName(answers).repartition("chunk").sortWithinPartitions("chunk", "order", "part")
-    return joined.mapInArrow(score, SCHEMA)
+    return joined.mapInArrow(trimmed(score), SCHEMA)
 
 
 def _even_cuts(width: int) -> np.ndarray:

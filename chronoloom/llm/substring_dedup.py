@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chronoloom.llm.anchors import Words, merged, region_rows, spans_of, with_texts
-from chronoloom.llm.common import materialize, mix64, shared_dir, window_hashes
+from chronoloom.llm.common import materialize, mix64, shared_dir, trimmed, window_hashes
 
 RUN = "fp long, digest long, rep struct<doc_id:long,lo:long,hi:long>"
 

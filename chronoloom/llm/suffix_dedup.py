@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from chronoloom.llm.anchors import Bytes, merged, region_rows, runs, spans_of, with_texts
-from chronoloom.llm.common import materialize
+from chronoloom.llm.common import materialize, trimmed
 
 #: Largest alphabet for which buckets are induced one by one.
 BUCKETS = 1024
@@ -208,7 +208,7 @@ def repeated_starts(parts: list[bytes], window: int) -> list[np.ndarray]:
     return out
 
 
-def repeated_spans(docs: DataFrame, window: int = 400, gram: int = 64, shard_bytes: int = 1 << 20) -> DataFrame:
+def repeated_spans(docs: DataFrame, window: int = 400, gram: int = 64, shard_bytes: int = 1 << 18) -> DataFrame:
     """Per document that has any, the bytes to remove: doc_id, starts and ends, which may overlap."""
     docs = docs.selectExpr("cast(doc_id as long) doc_id", "text")
     rows = materialize(region_rows(docs, Bytes(window, gram)), "regions")
@@ -259,12 +259,12 @@ def repeated_spans(docs: DataFrame, window: int = 400, gram: int = 64, shard_byt
             yield r
 
     parts = with_texts(docs, wanted, "inner", slices, "fp long, doc_id long, lo long, single boolean, data binary")
-    shared = parts.repartition("fp").sortWithinPartitions("fp", "doc_id", "lo").mapInArrow(sort_shards, "doc_id long, start long, end long")
+    shared = parts.repartition("fp").sortWithinPartitions("fp", "doc_id", "lo").mapInArrow(trimmed(sort_shards), "doc_id long, start long, end long")
 
     return spans_of(whole.unionByName(shared))
 
 
-def suffix_dedup(docs: DataFrame, window: int = 400, gram: int = 64, shard_bytes: int = 1 << 20) -> DataFrame:
+def suffix_dedup(docs: DataFrame, window: int = 400, gram: int = 64, shard_bytes: int = 1 << 18) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and kept_sha256, and the spans themselves."""
     docs = docs.selectExpr("cast(doc_id as long) doc_id", "text")
 
@@ -315,4 +315,4 @@ def cut_texts(docs: DataFrame, window: int = 400) -> DataFrame:
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
     spans = repeated_spans(docs, window)
-    return docs.join(spans, "doc_id", "left").select(*[docs[c] for c in names], "starts", "ends").mapInArrow(cut, docs.schema)
+    return docs.join(spans, "doc_id", "left").select(*[docs[c] for c in names], "starts", "ends").mapInArrow(trimmed(cut), docs.schema)

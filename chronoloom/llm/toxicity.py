@@ -32,6 +32,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from chronoloom.llm.common import trimmed
+
 WORD = re.compile(r"[^\W\d_]+")
 PREFIXES = (4, 5, 6, 7)
 SCHEMA = "doc_id long, held_out boolean, score double, predicted int, vote double, evidence array<struct<doc_id:long,similarity:double,label:int>>"
@@ -178,7 +180,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, max_examples: int = 8192, m
         seen[""], bad[""] = docs_, bad_docs
         yield pa.RecordBatch.from_arrays([pa.array(list(seen)), pa.array(list(seen.values()), pa.int64()), pa.array([bad[t] for t in seen], pa.int64())], names=["term", "n", "toxic"])
 
-    counted = sample.select("doc_id", "text", "toxic").mapInArrow(count_terms, "term string, n long, toxic long").groupBy("term").agg(F.sum("n").alias("n"), F.sum("toxic").alias("toxic"))
+    counted = sample.select("doc_id", "text", "toxic").mapInArrow(trimmed(count_terms), "term string, n long, toxic long").groupBy("term").agg(F.sum("n").alias("n"), F.sum("toxic").alias("toxic"))
     whole = chosen.agg(F.count("*").alias("n"), F.coalesce(F.sum("toxic"), F.lit(0)).alias("toxic")).first()
     rate = whole["toxic"] / whole["n"] if whole["n"] else 0.0
     expected = F.col("n") * rate
@@ -195,7 +197,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, max_examples: int = 8192, m
         df[-1] = n
         yield pa.RecordBatch.from_arrays([pa.array(list(df), pa.int64()), pa.array(list(df.values()), pa.int64())], names=["term", "n"])
 
-    df = {r["term"]: r["n"] for r in texts.select("text").mapInArrow(frequencies, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()} if terms else {}
+    df = {r["term"]: r["n"] for r in texts.select("text").mapInArrow(trimmed(frequencies), "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()} if terms else {}
     n = df.get(-1, 0)
     idf = [math.log((n + 1) / (df.get(i, 0) + 1)) + 1 for i in range(len(terms))]
 
@@ -208,7 +210,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, max_examples: int = 8192, m
                 names=["doc_id", "toxic", "terms", "counts"],
             )
 
-    rows = sample.select("doc_id", "text", "toxic").mapInArrow(vectors, "doc_id long, toxic int, terms array<int>, counts array<int>").dropDuplicates(["doc_id"]).collect()
+    rows = sample.select("doc_id", "text", "toxic").mapInArrow(trimmed(vectors), "doc_id long, toxic int, terms array<int>, counts array<int>").dropDuplicates(["doc_id"]).collect()
     examples = sorted((r["doc_id"], r["toxic"], tuple(zip(r["terms"], r["counts"], strict=True))) for r in rows)
     return Model(terms, idf, [(d, y, dict(tf)) for d, y, tf in examples], k)
 
@@ -230,7 +232,7 @@ def score_toxicity(docs: DataFrame, model: Model) -> DataFrame:
                 names=["doc_id", "held_out", "score", "predicted", "vote", "evidence"],
             )
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(held_out(), F.lit(False)).alias("held_out"), "text").mapInArrow(run, SCHEMA)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(held_out(), F.lit(False)).alias("held_out"), "text").mapInArrow(trimmed(run), SCHEMA)
 
 
 def drop_toxic(docs: DataFrame, model: Model, limit: float = 0.5) -> DataFrame:
@@ -244,4 +246,4 @@ def drop_toxic(docs: DataFrame, model: Model, limit: float = 0.5) -> DataFrame:
         for batch in batches:
             yield batch.filter(pa.array([m.score(vocabulary.counts(t or ""))[0] < limit for t in batch.column(at).to_pylist()], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(trimmed(run), docs.schema)
