@@ -75,7 +75,7 @@ class Grams:
             self.index.append(index)
 
 
-def backoff_scores(docs: DataFrame, chunk_words: int = 1 << 20, key_bits: int = 48, alpha: float = 0.4) -> DataFrame:
+def backoff_scores(docs: DataFrame, chunk_words: int = 1 << 21, key_bits: int = 48, alpha: float = 0.4) -> DataFrame:
     """doc_id, n_words, how many words each order scored, and the mean log10 score."""
     width = shuffle_width(docs.sparkSession)
 
@@ -118,7 +118,8 @@ def backoff_scores(docs: DataFrame, chunk_words: int = 1 << 20, key_bits: int =
                         if a < b:
                             steps = np.diff(keys[a:b], prepend=np.uint64(0))
                             head, steps = steps[:1], _narrow(steps[1:])
-                            rows.append((p, n, chunk, _squeeze(head, steps, _narrow(count[a:b]))))
+                            planes = np.ascontiguousarray(steps).view(np.uint8).reshape(len(steps), -1).T.ravel()  # like bytes together pack better
+                            rows.append((p, n, chunk, _squeeze(head, planes, _narrow(count[a:b]))))
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), pa.int32(), pa.int64(), pa.binary()), strict=True)], names=names)
 
@@ -130,7 +131,9 @@ def backoff_scores(docs: DataFrame, chunk_words: int = 1 << 20, key_bits: int =
         for (p, n), rows in asked.items():
             keys, counts = [], []
             for _, payload in rows:
-                head, steps, count = _unsqueeze(payload)
+                head, planes, count = _unsqueeze(payload)
+                steps = np.ascontiguousarray(planes.reshape(-1, len(count) - 1).T) if len(count) > 1 else np.empty((0, 1), np.uint8)
+                steps = steps.view(f"<u{steps.shape[1]}").ravel()
                 keys.append(np.cumsum(np.concatenate((head, steps.astype(np.uint64))), dtype=np.uint64))
                 counts.append(count.astype(np.int64))
             every = np.concatenate(keys)
