@@ -118,7 +118,7 @@ def backoff_scores(docs: DataFrame, chunk_words: int = 1 << 21, key_bits: int =
                         if a < b:
                             steps = np.diff(keys[a:b], prepend=np.uint64(0))
                             head, steps = steps[:1], _narrow(steps[1:])
-                            planes = np.ascontiguousarray(steps).view(np.uint8).reshape(len(steps), -1).T.ravel()  # like bytes together pack better
+                            planes = np.ascontiguousarray(steps).view(np.uint8).reshape(-1, steps.itemsize).T.ravel()  # like bytes together pack better
                             rows.append((p, n, chunk, _squeeze(head, planes, _narrow(count[a:b]))))
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), pa.int32(), pa.int64(), pa.binary()), strict=True)], names=names)
