@@ -33,6 +33,7 @@ from pyspark.sql import functions as F
 from chronoloom.llm.common import materialize, runs, shuffle_width, texts_of, trimmed, window_hashes
 
 ORDERS = 3
+
 CHUNK = "chunk long, doc_ids array<long>, words long, payload binary"
 SCHEMA = "doc_id long, n_words long, n_trigram long, n_bigram long, n_unigram long, n_unseen long, score double"
 
@@ -58,25 +59,49 @@ def _narrow(a: np.ndarray) -> np.ndarray:
 
 
 class Grams:
-    """The n-grams of a chunk: for each place (or -1) which distinct key, and the keys in order."""
+    """The n-grams of a chunk: for each place (or -1) which distinct key, and, where asked for, the keys in order."""
 
-    def __init__(self, sizes: np.ndarray, vocabulary: np.ndarray, sequence: np.ndarray, key_bits: int) -> None:
+    def __init__(self, sizes: np.ndarray, vocabulary: np.ndarray, sequence: np.ndarray, key_bits: int, with_keys: bool = True) -> None:
         h = vocabulary[sequence]
-        self.doc = np.repeat(np.arange(len(sizes)), sizes)
+        doc = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
         self.keys: list[np.ndarray] = []
         self.index: list[np.ndarray] = []
         for n in range(1, ORDERS + 1):
             g = window_hashes(h, n) >> np.uint64(64 - key_bits)
-            inside = self.doc[n - 1 :] == self.doc[: len(self.doc) - n + 1] if len(h) >= n else np.empty(0, bool)
+            inside = doc[n - 1 :] == doc[: len(doc) - n + 1] if len(h) >= n else np.empty(0, bool)
             keys, which = np.unique(g[inside], return_inverse=True)
-            index = np.full(len(h), -1, np.int64)
-            index[np.flatnonzero(inside) + n - 1] = which  # an n-gram belongs to its last word
-            self.keys.append(keys)
+            index = np.full(len(h), -1, np.int32)
+            index[n - 1 :][inside] = which  # an n-gram belongs to its last word
             self.index.append(index)
-
-
-def backoff_scores(docs: DataFrame, chunk_words: int = 1 << 21, key_bits: int = 48, alpha: float = 0.4) -> DataFrame:
-    """doc_id, n_words, how many words each order scored, and the mean log10 score."""
+            if with_keys:
+                self.keys.append(keys)
+
+
+def _score_block(sizes: np.ndarray, index: list[np.ndarray], totals: list[np.ndarray], words: int, alpha: float) -> list[np.ndarray]:
+    """Per document of a run of whole documents: words scored by trigram, bigram and unigram, and the sum of log10 scores."""
+    size = len(sizes)
+    doc = np.repeat(np.arange(size), sizes)
+    left = []  # for each order and place: occurrences in other documents
+    for where, sums in zip(index, totals, strict=True):
+        at = np.flatnonzero(where >= 0)
+        _, which, own = np.unique(doc[at] * max(1, len(sums)) + where[at], return_inverse=True, return_counts=True)
+        other = np.zeros(len(where), np.int64)
+        other[at] = sums[where[at]].astype(np.int64) - own[which]
+        left.append(other)
+    one, two, three = left
+    before = lambda x: np.concatenate((np.zeros(1, x.dtype), x[:-1]))[: len(x)]
+    others = np.maximum(1, words - sizes)[doc]
+    low = np.where(two > 0, two / np.maximum(before(one), 1), np.where(index[1] >= 0, alpha, 1.0) * np.maximum(one, 0.5) / others)
+    value = np.log10(np.where(three > 0, three / np.maximum(before(two), 1), np.where(index[2] >= 0, alpha, 1.0) * low))
+    by = (three > 0, (three <= 0) & (two > 0), (three <= 0) & (two <= 0) & (one > 0))
+    return [*(np.bincount(doc[x], minlength=size) for x in by), np.bincount(doc, value, size)]
+
+
+def backoff_scores(docs: DataFrame, chunk_words: int = 1 << 21, key_bits: int = 48, alpha: float = 0.4, block_words: int = 1 << 18) -> DataFrame:
+    """doc_id, n_words, how many words each order scored, and the mean log10 score.
+
+    Whole documents of about ``block_words`` words are scored at a time.
+    """
     width = shuffle_width(docs.sparkSession)
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -155,37 +180,17 @@ def backoff_scores(docs: DataFrame, chunk_words: int = 1 << 21, key_bits: int =
         for _, group in groupby(stream, key=lambda r: r[0]):
             first, *rest = group
             sizes, vocabulary, sequence = _unsqueeze(first[4])
-            grams = Grams(sizes, vocabulary, sequence, key_bits)
-            doc, size = grams.doc, len(sizes)
-            left = []  # for each order and place: occurrences in other documents
-            for n in range(1, ORDERS + 1):
-                index = grams.index[n - 1]
-                totals = np.concatenate([_unsqueeze(r[4])[0] for r in rest if r[1] == n] or [np.empty(0, np.int64)]).astype(np.int64)
-                at = np.flatnonzero(index >= 0)
-                pair = doc[at] * max(1, len(totals)) + index[at]
-                _, which, own_count = np.unique(pair, return_inverse=True, return_counts=True)
-                other = np.zeros(len(index), np.int64)
-                other[at] = totals[index[at]] - own_count[which]
-                left.append(other)
-            one, two, three = left
-            shift = lambda x: np.concatenate((np.zeros(1, x.dtype), x[:-1]))
-            has = [grams.index[n] >= 0 for n in range(ORDERS)]
-            others = np.maximum(1, words - np.bincount(doc, minlength=size))[doc] if len(doc) else np.empty(0)
-            by_one = np.maximum(one, 0.5) / others
-            by_two = two / np.maximum(shift(one), 1)
-            by_three = three / np.maximum(shift(two), 1)
-            use3, use2 = three > 0, two > 0
-            low = np.where(use2, by_two, np.where(has[1], alpha, 1.0) * by_one)
-            value = np.log10(np.where(use3, by_three, np.where(has[2], alpha, 1.0) * low))
-            use2 &= ~use3
-            use1 = ~use3 & ~use2 & (one > 0)
-            tally = lambda x: np.bincount(doc, x, size).astype(np.int64) if len(doc) else np.zeros(size, np.int64)
+            index = Grams(sizes, vocabulary, sequence, key_bits, with_keys=False).index
+            totals = [np.concatenate([_unsqueeze(r[4])[0] for r in rest if r[1] == n] or [np.empty(0, np.uint8)]) for n in range(1, ORDERS + 1)]
             n_words = sizes.astype(np.int64)
-            total_log = np.bincount(doc, value, size) if len(doc) else np.zeros(size)
+            ends = np.concatenate(([0], np.cumsum(n_words)))
+            cut = np.unique(np.concatenate(([0], np.searchsorted(ends[1:], np.arange(block_words, ends[-1], block_words)) + 1, [len(sizes)]))).tolist()
+            blocks = [_score_block(n_words[a:b], [x[ends[a] : ends[b]] for x in index], totals, words, alpha) for a, b in zip(cut[:-1], cut[1:], strict=True)]
+            by3, by2, by1, logs = (np.concatenate(x) for x in zip(*blocks, strict=True))
             with np.errstate(invalid="ignore", divide="ignore"):
-                mean = total_log / n_words
+                mean = logs / n_words
             yield pa.RecordBatch.from_arrays(
-                [pa.array(first[3], pa.int64()), pa.array(n_words), pa.array(tally(use3)), pa.array(tally(use2)), pa.array(tally(use1)), pa.array(n_words - tally(use3 | use2 | use1)), pa.array(np.where(n_words > 0, mean, 0.0), mask=n_words == 0)],
+                [pa.array(first[3], pa.int64()), pa.array(n_words), pa.array(by3), pa.array(by2), pa.array(by1), pa.array(n_words - by3 - by2 - by1), pa.array(np.where(n_words > 0, mean, 0.0), mask=n_words == 0)],
                 names=[f.split()[0] for f in SCHEMA.split(", ")],
             )
 

@@ -38,13 +38,13 @@ def brute(rows):
     return out
 
 
-@pytest.mark.parametrize("chunk,bits", [(50, 48), (1 << 20, 64)])
-def test_scores(spark, chunk, bits):
+@pytest.mark.parametrize("chunk,bits,block", [(50, 48, 7), (1 << 20, 64, 100)])
+def test_scores(spark, chunk, bits, block):
     rng = random.Random(2)
     rows = [(i, " ".join(rng.choice("abcdefg") * rng.randint(1, 2) for _ in range(rng.randint(0, 60)))) for i in range(80)]
     rows += [(80, None), (81, ""), (82, "a"), (83, rows[3][1]), (84, "zz zz zz zz"), (85, "a b"), (86, " \n ")]
     df = spark.createDataFrame([(i, t, 1) for i, t in rows], "doc_id long, text string, chunk int").repartition(3)
-    got, want = {r.doc_id: tuple(r)[1:] for r in backoff_scores(df, chunk, bits).collect()}, brute(rows)
+    got, want = {r.doc_id: tuple(r)[1:] for r in backoff_scores(df, chunk, bits, block_words=block).collect()}, brute(rows)
     assert got.keys() == want.keys()
     for k in want:
         assert got[k][:-1] == want[k][:-1], k
