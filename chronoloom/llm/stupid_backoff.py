@@ -33,14 +33,13 @@ from pyspark.sql import functions as F
 from chronoloom.llm.common import materialize, runs, shuffle_width, texts_of, trimmed, window_hashes
 
 ORDERS = 3
-
 CHUNK = "chunk long, doc_ids array<long>, words long, payload binary"
 SCHEMA = "doc_id long, n_words long, n_trigram long, n_bigram long, n_unigram long, n_unseen long, score double"
 
 
 def _squeeze(*arrays: np.ndarray) -> bytes:
-    """Arrays in one compressed byte string, each with its type and length before it."""
-    out = b"".join(np.array([len(a), a.itemsize], "<i8").tobytes() + np.ascontiguousarray(a).tobytes() for a in arrays)
+    """Arrays in one compressed byte string, each with its length and width before it, in byte planes: like bytes together pack better."""
+    out = b"".join(np.array([len(a), a.itemsize], "<i8").tobytes() + np.ascontiguousarray(a).view(np.uint8).reshape(len(a), a.itemsize).T.tobytes() for a in arrays)
     return zstandard.ZstdCompressor(level=1).compress(out)
 
 
@@ -48,7 +47,8 @@ def _unsqueeze(data: bytes) -> list[np.ndarray]:
     raw, at, out = zstandard.ZstdDecompressor().decompress(data), 0, []
     while at < len(raw):
         n, width = (int(x) for x in np.frombuffer(raw, "<i8", 2, at))
-        out.append(np.frombuffer(raw, f"<u{width}", n, at + 16))
+        planes = np.frombuffer(raw, np.uint8, n * width, at + 16).reshape(width, n)
+        out.append(np.ascontiguousarray(planes.T).view(f"<u{width}").ravel())
         at += 16 + n * width
     return out
 
@@ -142,9 +142,7 @@ def backoff_scores(docs: DataFrame, chunk_words: int = 1 << 21, key_bits: int =
                     for p, (a, b) in enumerate(zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)):
                         if a < b:
                             steps = np.diff(keys[a:b], prepend=np.uint64(0))
-                            head, steps = steps[:1], _narrow(steps[1:])
-                            planes = np.ascontiguousarray(steps).view(np.uint8).reshape(-1, steps.itemsize).T.ravel()  # like bytes together pack better
-                            rows.append((p, n, chunk, _squeeze(head, planes, _narrow(count[a:b]))))
+                            rows.append((p, n, chunk, _squeeze(steps[:1], _narrow(steps[1:]), _narrow(count[a:b]))))
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), pa.int32(), pa.int64(), pa.binary()), strict=True)], names=names)
 
@@ -156,9 +154,7 @@ def backoff_scores(docs: DataFrame, chunk_words: int = 1 << 21, key_bits: int =
         for (p, n), rows in asked.items():
             keys, counts = [], []
             for _, payload in rows:
-                head, planes, count = _unsqueeze(payload)
-                steps = np.ascontiguousarray(planes.reshape(-1, len(count) - 1).T) if len(count) > 1 else np.empty((0, 1), np.uint8)
-                steps = steps.view(f"<u{steps.shape[1]}").ravel()
+                head, steps, count = _unsqueeze(payload)
                 keys.append(np.cumsum(np.concatenate((head, steps.astype(np.uint64))), dtype=np.uint64))
                 counts.append(count.astype(np.int64))
             every = np.concatenate(keys)
