@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -12,23 +11,11 @@ from chronoloom.functions import keys as K
 from chronoloom.operators import facts as T
 from chronoloom.operators import graph as G
 from chronoloom.operators import ranking as R
+from chronoloom.plans import registry, text_catalog  # noqa: F401
+from chronoloom.plans.registry import query
 from chronoloom.sources.tables import FACT_STREAM_SQL, chat_sessions, fact_stream, page_links, table, vectors
 
 AS_OF = "2024-01-15"
-_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-_SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    def add(f):
-        _QUERIES[f.__name__] = f
-        if sql:
-            _SQL[f.__name__] = re.sub(r"\bat\b", '"at"', sql)  # a keyword there
-        return f
-
-    return add
-
-
 _PUNCT = "regexp_replace(lower({0}), '[^\\p{{L}}\\p{{N}}_\\s]', ' ', 'g')"
 _SPACED = "trim(regexp_replace(" + _PUNCT + ", '\\s+', ' ', 'g'))"
 _SINGULAR = "CASE WHEN length({0}) <= 4 THEN {0} WHEN {0} LIKE '%ies' THEN {0}[:-4] || 'y' WHEN {0} LIKE '%es' AND NOT ({0} LIKE '%ses' OR {0} LIKE '%zes') THEN {0}[:-3] WHEN {0} LIKE '%s' AND NOT {0} LIKE '%ss' THEN {0}[:-2] ELSE {0} END"
@@ -396,8 +383,8 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return dict(_QUERIES)
+    return dict(registry.QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(_SQL)
+    return dict(registry.SQL)
