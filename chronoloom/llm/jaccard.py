@@ -2,12 +2,12 @@
 
 Candidates. Two sets of sizes a and b that reach the threshold differ in at most
 H = (1-t)/(1+t)(a+b) shingles. Sizes are cut into bands so that partners lie in the same or the next band;
-for each band pair the hash space is cut into somewhat more than H+1 ranges, so partners agree on at
-least one range that isn't empty (a set with so many empty ranges that this could fail also gives those). A range's
-content is one signature. Documents with a common signature are candidates, whose connected
-components are clusters: no pair of partners is ever split between clusters, and passages that
-many documents share don't connect them, as a whole range has to agree. Signatures travel as packed
-blocks, a block per task and partition.
+for each band pair the hash space is cut into h + k ranges (h the value of H there), so partners agree on at
+least k ranges. A range's content is one signature. Signatures are counted; each document then leaves out its
+k - 1 most common ones, empty ranges before all others, and still has one in common with each partner, while passages
+that many documents share seldom connect them. Documents with a common signature are candidates, whose connected
+components are clusters: no pair of partners is ever split between clusters. Signatures travel as packed
+blocks, a block per task and partition; of those that a single set has, nothing travels on.
 
 Joining. The different sets of a cluster form a signature tree: leaves of eight sets, each node with the OR
 and the AND of its sets' bitmaps and the range of sizes. A dual traversal drops node pairs whose largest
@@ -84,52 +84,67 @@ def cuts(m: int) -> np.ndarray:
     return np.array([(i << 64) // m for i in range(1, m)], np.uint64)
 
 
-def signatures(u: np.ndarray, bands: Bands) -> np.ndarray:
-    """Signatures of a set; any two sets that reach the threshold have one in common."""
-    k = bands.band(len(u))
+def signatures(u: np.ndarray, bands: Bands) -> list[tuple[np.ndarray, int]]:
+    """For each of a set's two band pairs its signatures and how many of the most common ones it can do without.
+
+    Of h + k ranges, two sets at the threshold agree on k. If both drop their k - 1 most common signatures by one
+    order for all, the rarest signature they share stays in both. Empty ranges rank as the most common.
+    """
+    top = bands.band(len(u))
     sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(mix64(u), dtype=np.uint64)))
     out = []
-    for scheme in {k, max(k - 1, 0)}:
+    for scheme in {top, max(top - 1, 0)}:
         h = bands.differences(scheme)
-        m = h + 1 if h == 0 else h + 3 + h // 20
+        k = 1 if h == 0 else 3 + h // 4
+        m = h + k
         at = np.concatenate(([0], np.searchsorted(u, cuts(m)), [len(u)]))
         count = np.diff(at).astype(np.uint64)
         sig = mix64((sums[at[1:]] - sums[at[:-1]]) * K1 + count * K2 + (np.arange(m, dtype=np.uint64) + np.uint64(scheme << 32)) * K3)
-        empty = int((count == 0).sum())
-        out.append(sig[count > 0] if empty < m - h else sig)
-    return np.concatenate(out)
+        full, empty = sig[count > 0], np.sort(sig[count == 0])
+        spare = max(0, k - 1 - len(empty))
+        out.append((full if len(empty) < k else np.concatenate((full, empty[: len(empty) - (k - 1)])), spare))
+    return out
 
 
-def _pack(keys: np.ndarray, parts: np.ndarray, ids: np.ndarray, width: int) -> pa.RecordBatch:
-    """One block for each part: ids with how many keys each has there, then the keys."""
+def _pack(keys: np.ndarray, parts: np.ndarray, ids: np.ndarray, tags: np.ndarray) -> pa.RecordBatch:
+    """One block for each part: ids and tags with how many keys each has there, then the keys."""
     order = np.argsort(parts, kind="stable")
-    keys, parts, ids = keys[order], parts[order], ids[order]
+    keys, parts, ids, tags = keys[order], parts[order], ids[order], tags[order]
     rows, blobs = [], []
     for lo, hi in zip(*runs(parts), strict=True):
-        a, b = runs(ids[lo:hi])
+        mine, tag = ids[lo:hi], tags[lo:hi]
+        a = np.concatenate(([0], np.flatnonzero((mine[1:] != mine[:-1]) | (tag[1:] != tag[:-1])) + 1))
         head = np.array([len(a), hi - lo], "<i8")
-        blobs.append(head.tobytes() + ids[lo:hi][a].astype("<i8").tobytes() + (b - a).astype("<u4").tobytes() + keys[lo:hi].tobytes())
+        blobs.append(head.tobytes() + mine[a].astype("<i8").tobytes() + tag[a].astype("<u4").tobytes() + np.diff(a, append=hi - lo).astype("<u4").tobytes() + keys[lo:hi].tobytes())
         rows.append(int(parts[lo]))
     return pa.RecordBatch.from_arrays([pa.array(rows, pa.int32()), pa.array(blobs, pa.binary())], names=["part", "block"])
 
 
-def _unpack(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
-    n, m = np.frombuffer(blob, "<i8", 2)
-    ids, count = np.frombuffer(blob, "<i8", n, 16), np.frombuffer(blob, "<u4", n, 16 + 8 * n)
-    return np.repeat(ids, count), np.frombuffer(blob, "<u8", m, 16 + 12 * n)
+def _unpack(batches: Iterator[pa.RecordBatch]) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
+    """Ids, tags and keys of all blocks of a partition."""
+    found = []
+    for batch in batches:
+        for blob in batch.column(1).to_pylist():
+            n, m = np.frombuffer(blob, "<i8", 2)
+            ids, tags, count = np.frombuffer(blob, "<i8", n, 16), np.frombuffer(blob, "<u4", n, 16 + 8 * n), np.frombuffer(blob, "<u4", n, 16 + 12 * n)
+            found.append((np.repeat(ids, count), np.repeat(tags, count), np.frombuffer(blob, "<u8", m, 16 + 16 * n)))
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True)) if found else None
 
 
 def candidate_edges(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
     """Edges (a, b) whose components keep all pairs at the threshold together."""
     width = shuffle_width(docs.sparkSession)
 
+    def part_of(x: np.ndarray) -> np.ndarray:
+        return (mix64(x.astype(np.uint64)) % np.uint64(width)).astype(np.int32)
+
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bands, seen = Bands(num, den), set()
-        sigs, ids, held = [], [], 0
+        sigs, ids, tags, held = [], [], [], 0
 
         def flush() -> pa.RecordBatch:
-            s = np.concatenate(sigs)
-            return _pack(s, (s % np.uint64(width)).astype(np.int32), np.repeat(np.array(ids, np.int64), [len(x) for x in sigs]), width)
+            s, count = np.concatenate(sigs), [len(x) for x in sigs]
+            return _pack(s, part_of(s), np.repeat(np.array(ids, np.int64), count), np.repeat(np.array(tags, np.uint32), count))
 
         for batch in batches:
             for doc_id, text in zip(batch.column(0).to_pylist(), texts_of(batch), strict=True):
@@ -137,25 +152,53 @@ def candidate_edges(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
                 if doc_id is None or not len(u) or (d := digest_of(u)) in seen:
                     continue  # a copy of what this task has sent
                 seen.add(d)
-                sigs.append(signatures(u, bands))
-                ids.append(doc_id)
-                held += len(sigs[-1])
+                for which, (sig, spare) in enumerate(signatures(u, bands)):
+                    sigs.append(sig)
+                    ids.append(doc_id)
+                    tags.append(2 * spare + which)
+                    held += len(sig)
                 if held >= 1 << 20:
                     yield flush()
-                    sigs, ids, held = [], [], 0
+                    sigs, ids, tags, held = [], [], [], 0
         if sigs:
             yield flush()
 
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Signatures of two sets or more, with their frequency in the upper bits, to their documents."""
+        if (got := _unpack(batches)) is None:
+            return
+        i, t, k = got
+        order = np.argsort(k)
+        k = k[order]
+        lo, hi = runs(k)
+        times = np.repeat(np.minimum(hi - lo, 65535).astype(np.uint64), hi - lo)
+        again = times > 1
+        order, k = order[again], (times[again] << np.uint64(48)) | (k[again] >> np.uint64(16))
+        i, t = i[order], t[order]
+        for at in range(0, len(order), 1 << 20):
+            piece = slice(at, at + (1 << 20))
+            by = np.lexsort((t[piece], i[piece]))
+            yield _pack(k[piece][by], part_of(i[piece][by]), i[piece][by], t[piece][by])
+
+    def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Each document's signatures without the most common ones that it can spare; unique ones are rarer than all here."""
+        if (got := _unpack(batches)) is None:
+            return
+        i, t, k = got
+        order = np.lexsort((k, t, i))
+        i, t, k = i[order], t[order], k[order]
+        new = np.flatnonzero((i[1:] != i[:-1]) | (t[1:] != t[:-1])) + 1
+        lo, hi = np.concatenate(([0], new)), np.concatenate((new, [len(i)]))
+        keep = np.arange(len(i)) < np.repeat(hi - (t[lo] >> 1), hi - lo)
+        i, k = i[keep], k[keep]
+        for at in range(0, len(i), 1 << 20):
+            piece = slice(at, at + (1 << 20))
+            yield _pack(k[piece], part_of(k[piece]), i[piece], np.zeros(len(i[piece]), np.uint32))
+
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, keys = [], []
-        for batch in batches:
-            for blob in batch.column(1).to_pylist():
-                i, k = _unpack(blob)
-                ids.append(i)
-                keys.append(k)
-        if not ids:
+        if (got := _unpack(batches)) is None:
             return
-        i, k = np.concatenate(ids), np.concatenate(keys)
+        i, _, k = got
         order = np.lexsort((i, k))
         i, k = i[order], k[order]
         lo, hi = runs(k)
@@ -167,23 +210,23 @@ def candidate_edges(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
             union.join(a, b)
         star = np.array([(x, r) for x in list(union.up) if (r := union.find(x)) != x], np.int64).reshape(-1, 2)
         if len(star):
-            part = (mix64(star[:, 1].astype(np.uint64)) % np.uint64(width)).astype(np.int32)
-            yield _pack(star[:, 1].astype("<u8"), part, star[:, 0], width)
+            yield _pack(star[:, 1].astype("<u8"), part_of(star[:, 1]), star[:, 0], np.zeros(len(star), np.uint32))
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if (got := _unpack(batches)) is None:
+            return
+        a, _, b = got
         union = Union()
-        for batch in batches:
-            for blob in batch.column(1).to_pylist():
-                a, b = _unpack(blob)
-                for x, y in np.unique(np.column_stack((a, b.astype(np.int64))), axis=0).tolist():
-                    union.join(x, y)
+        for x, y in np.unique(np.column_stack((a, b.astype(np.int64))), axis=0).tolist():
+            union.join(x, y)
         rows = [(x, r) for x in list(union.up) if (r := union.find(x)) != x]
         if rows:
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64())], names=["a", "b"])
 
-    blocks = docs.mapInArrow(trimmed(emit), "part int, block binary").repartitionById(width, F.col("part"))
-    stars = blocks.mapInArrow(trimmed(meet), "part int, block binary").repartitionById(width, F.col("part"))
-    return stars.mapInArrow(trimmed(merge), "a long, b long")
+    blocks = docs
+    for step in (emit, count, choose, meet):
+        blocks = blocks.mapInArrow(trimmed(step), "part int, block binary").repartitionById(width, F.col("part"))
+    return blocks.mapInArrow(trimmed(merge), "a long, b long")
 
 
 class SignatureTree:
