@@ -206,6 +206,15 @@ def d01_shared_hubs(spark, d):
     return G.shared_hubs(m, cap=16)
 
 
+@query(f"""WITH {FACT_STREAM_SQL}, m AS (SELECT src AS member, dst || '/' || rel AS hub, max(at) AS at FROM facts GROUP BY ALL), n AS (SELECT count(DISTINCT member) AS n FROM m),
+ i AS (SELECT hub, ln(1 + any_value(n) / count(DISTINCT member)) AS idf FROM m, n GROUP BY hub), l AS (SELECT *, row_number() OVER (PARTITION BY hub ORDER BY at DESC, member DESC) AS r FROM m),
+ p AS (SELECT a.member AS src, b.member AS dst, count(*) AS n_hubs, sum(idf) AS w FROM l a JOIN l b ON a.hub = b.hub AND a.member < b.member AND a.r <= 256 AND b.r <= 256 JOIN i ON i.hub = a.hub GROUP BY ALL)
+ SELECT src, dst, n_hubs, round(least(1.0, w / 3), 3) AS confidence, round(w, 3) AS weight FROM p""")
+def d01_shared_hubs_full(spark, d):
+    m = fact_stream(spark, d).select(F.col("src").alias("member"), F.concat("dst", F.lit("/"), "rel").alias("hub"), "at")
+    return G.shared_hubs(m)
+
+
 @query("""WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings), s AS (SELECT a.vec_id AS src, b.vec_id AS dst, round(list_dot_product(a.e, b.e), 6) AS score FROM v a JOIN v b ON a.vec_id <> b.vec_id AND a.vec_id % 10 = 0),
  r AS (SELECT *, row_number() OVER (PARTITION BY src ORDER BY score DESC, dst) AS rank FROM s WHERE score >= 0.3) SELECT src, dst, score, rank FROM r WHERE rank <= 7""")
 def d04_nearest(spark, d):
