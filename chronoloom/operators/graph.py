@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import os
+import uuid
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -42,6 +47,51 @@ def nearest(queries: DataFrame, vectors: DataFrame, k: int, floor: float) -> Dat
     return scored.withColumn("rank", F.row_number().over(Window.partitionBy("src").orderBy(F.desc("score"), "dst"))).where(F.col("rank") <= k)
 
 
+def nearest_all(vectors: DataFrame, k: int, floor: float, block: int = 4096, wide: int = 65536) -> DataFrame:
+    """``nearest`` with every vector as a query: blocks of queries against wide blocks of vectors, the k best of each merged."""
+    v = vectors.select(F.col("node_id").cast("long").alias("node_id"), "vec").where("node_id is not null and vec is not null").withColumn("dim", F.size("vec"))
+    n = v.count()
+    m, n = max(1, -(-n // block)), max(1, -(-n // wide))
+    i, j = F.pmod(F.xxhash64("node_id"), F.lit(m)), F.pmod(F.xxhash64("node_id"), F.lit(n))
+    a = v.select("dim", i.alias("i"), F.explode(F.sequence(F.lit(0), F.lit(n - 1)).cast("array<long>")).alias("j"), "node_id", "vec")
+    b = v.select("dim", F.explode(F.sequence(F.lit(0), F.lit(m - 1)).cast("array<long>")).alias("i"), j.alias("j"), "node_id", "vec")
+
+    def best(left: pa.Table, right: pa.Table) -> pa.Table:
+        out: list[list[np.ndarray]] = [[], [], []]
+        if left.num_rows and right.num_rows:
+            (p, x), (q, y) = ((t["node_id"].to_numpy(), t["vec"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(t.num_rows, -1)) for t in (left, right))
+            for at in range(0, len(p), 64):
+                s = x[at : at + 64] @ y.T
+                r, c = np.nonzero(s >= floor - 1e-6)
+                score = s[r, c]
+                score = np.sign(score) * np.floor(np.abs(score) * 1e6 + 0.5) / 1e6
+                r, c, score = (z[(p[at + r] != q[c]) & (score >= floor)] for z in (r, c, score))
+                order = np.lexsort((q[c], -score, r))
+                r, c, score = r[order], c[order], score[order]
+                keep = np.arange(len(r)) - np.searchsorted(r, r) < k
+                for o, z in zip(out, (p[at + r[keep]], q[c[keep]], score[keep]), strict=True):
+                    o.append(z)
+        return pa.table({name: pa.array(np.concatenate([np.empty(0, kind), *o]).astype(kind)) for name, kind, o in zip(("src", "dst", "score"), (np.int64, np.int64, np.float64), out, strict=True)})
+
+    cells = a.groupBy("dim", "i", "j").cogroup(b.groupBy("dim", "i", "j")).applyInArrow(best, "src long, dst long, score double")
+    return cells.withColumn("rank", F.row_number().over(Window.partitionBy("src").orderBy(F.desc("score"), "dst"))).where(F.col("rank") <= k)
+
+
+def held(df: DataFrame, name: str) -> DataFrame:
+    """The rows as a table in ``spark.checkpoint.dir`` (or, where that is unset, under /tmp): lineage ends here."""
+    spark = df.sparkSession
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        at = spark.sparkContext._jsc.sc().getCheckpointDir()
+        base = at.get() if at.isDefined() else None
+    if not base:
+        base = f"/tmp/chronoloom-{os.getuid()}-{uuid.uuid4().hex[:8]}"
+        spark.sparkContext.setCheckpointDir(base)
+    path = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def projection(edges: DataFrame) -> DataFrame:
     """One weight for each pair: the largest within a type, summed over types."""
     w = F.greatest(F.lit(1e-4), F.col("confidence") * F.col("weight"))

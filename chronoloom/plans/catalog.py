@@ -222,6 +222,12 @@ def d04_nearest(spark, d):
     return G.nearest(v.where("node_id % 10 = 0"), v, 7, 0.3)
 
 
+@query("""WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings), s AS (SELECT a.vec_id AS src, b.vec_id AS dst, round(list_dot_product(a.e, b.e), 6) AS score FROM v a JOIN v b ON a.vec_id <> b.vec_id),
+ r AS (SELECT *, row_number() OVER (PARTITION BY src ORDER BY score DESC, dst) AS rank FROM s WHERE score >= 0.3) SELECT src, dst, score, rank FROM r WHERE rank <= 7""")
+def d04_nearest_full(spark, d):
+    return G.nearest_all(vectors(spark, d), 7, 0.3)
+
+
 @query("SELECT vec_id AS node_id, round(sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])), 6) AS norm FROM embeddings")
 def v01_norm(spark, d):
     return vectors(spark, d).select("node_id", F.round(K.norm(F.col("vec")), 6).alias("norm"))

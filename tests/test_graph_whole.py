@@ -1,5 +1,8 @@
 """Graph operators that once did less than the whole job, against plain computations."""
 
+import numpy as np
+import pytest
+
 from chronoloom.operators import graph as G
 from chronoloom.plans import catalog
 
@@ -14,3 +17,18 @@ def test_d01_full_counts_every_pair(spark):
     d = "/root/testdata/sf0.01"
     full, cut = (catalog.queries()[n](spark, d).agg({"n_hubs": "sum"}).first()[0] for n in ("d01_shared_hubs_full", "d01_shared_hubs"))
     assert (full, cut) == (86958, 56113)
+
+
+@pytest.mark.parametrize("block", [(7, 13), (4096, 65536)])
+def test_nearest_of_all_vectors(spark, block):
+    x = np.random.default_rng(3).normal(size=(60, 5))
+    x[50:] = x[0]
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(99, None)]
+    got = sorted(map(tuple, G.nearest_all(spark.createDataFrame(rows, "node_id long, vec array<double>"), 4, 0.3, *block).collect()))
+    want = []
+    for i in range(60):
+        near = sorted((-round(float(x[i] @ x[j]), 6), j) for j in range(60) if j != i)
+        want += [(i, j, -s, n + 1) for n, (s, j) in enumerate(near[:4]) if -s >= 0.3]
+    assert got == sorted(want)
+    assert {r[0] for r in got} > {r[0] for r in got if r[0] % 10 == 0}
