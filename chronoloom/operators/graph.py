@@ -115,22 +115,59 @@ def personalized_rank(pairs: DataFrame, seeds: DataFrame, alpha: float = 0.5, ro
     return rank
 
 
-def hops(pairs: DataFrame, starts: DataFrame, limit: int) -> DataFrame:
+def settled_rank(pairs: DataFrame, seeds: DataFrame, alpha: float = 0.5, most: int = 200, tol: float = 1e-6) -> DataFrame:
+    """``personalized_rank`` from a uniform start until a round moves less than ``tol`` a node in all; raises after ``most`` rounds.
+
+    Seeds outside the graph don't count, the others' masses are scaled to sum to one; without any there are no rows.
+    """
+    step = held(transition(pairs), "step")
+    nodes = step.select(F.col("src").alias("id")).distinct()
+    mass = seeds.join(nodes, "id", "left_semi").groupBy("id").agg(F.sum("mass").alias("mass"))
+    mass = held(mass.crossJoin(F.broadcast(mass.agg(F.sum("mass").alias("_t")))).select("id", (F.col("mass") / F.col("_t")).alias("mass")), "mass")
+    if mass.isEmpty():
+        return mass.select("id", F.col("mass").alias("r"))
+    n = nodes.count()
+    rank = nodes.select("id", F.lit(1.0 / n).alias("r"))
+    for _ in range(most):
+        moved = rank.join(step, rank["id"] == step["src"]).groupBy("dst").agg(F.sum(F.col("r") * F.col("p")).alias("m")).withColumnRenamed("dst", "id")
+        new = moved.join(mass, "id", "left").select("id", (alpha * F.col("m") + (1 - alpha) * F.coalesce("mass", F.lit(0.0))).alias("new"))
+        both = held(rank.join(new, "id"), "rank")
+        rank = both.select("id", F.col("new").alias("r"))
+        if both.agg(F.sum(F.abs(F.col("new") - F.col("r")))).first()[0] < n * tol:
+            return rank
+    raise RuntimeError(f"rank not settled after {most} rounds")
+
+
+def hops(pairs: DataFrame, starts: DataFrame, limit: int = 5) -> DataFrame:
     """Least number of steps from any start, up to ``limit``."""
-    step = both_ways(pairs.select("src", "dst"))
-    seen = starts.select("id", F.lit(0).alias("hop"))
+    step = held(both_ways(pairs.select("src", "dst")), "step")
+    seen = new = held(starts.select("id", F.lit(0).alias("hop")).distinct(), "hop")
     for h in range(1, limit + 1):
-        new = seen.where(F.col("hop") == h - 1).join(step, F.col("id") == F.col("src")).select(F.col("dst").alias("id")).distinct().join(seen, "id", "left_anti")
-        seen = seen.unionByName(new.withColumn("hop", F.lit(h)))
+        new = new.join(step, F.col("id") == F.col("src")).select(F.col("dst").alias("id")).distinct().join(seen, "id", "left_anti")
+        new = held(new.withColumn("hop", F.lit(h)), "hop")
+        if new.isEmpty():
+            break
+        seen = seen.unionByName(new)
     return seen
 
 
-def label_rounds(pairs: DataFrame, rounds: int = 3) -> DataFrame:
-    """Communities by label propagation: each node takes the label with most weight around it, the least of equals."""
-    step = both_ways(pairs)
-    label = step.select(F.col("src").alias("id")).distinct().withColumn("label", F.col("id"))
-    order = Window.partitionBy("src").orderBy(F.desc("w"), "label")
-    for _ in range(rounds):
-        votes = step.join(label, step["dst"] == label["id"]).groupBy("src", "label").agg(F.round(F.sum("w"), 9).alias("w"))
-        label = votes.withColumn("_n", F.row_number().over(order)).where("_n = 1").select(F.col("src").alias("id"), "label")
-    return label
+def settled_labels(pairs: DataFrame, most: int = 1000) -> DataFrame:
+    """Communities by label propagation until each node has a label with the most weight around it; raises after ``most`` rounds.
+
+    A node moves only to a strictly heavier label (the least of equals), and of neighbours that would move only the first
+    by degree and id does. So each round adds to the weight within labels, and labels can't swing to and fro.
+    """
+    step = held(both_ways(pairs), "step")
+    label = step.groupBy(F.col("src").alias("id")).agg(F.count("*").alias("degree")).withColumn("label", F.col("id"))
+    for _ in range(most):
+        around = step.join(label.select(F.col("id").alias("dst"), "label"), "dst").groupBy(F.col("src").alias("id"), "label").agg(F.round(F.sum("w"), 9).alias("w"))
+        own = around.join(label.select("id", F.col("label").alias("own"), "degree"), "id")
+        best = own.groupBy("id", "own", "degree").agg(F.min(F.struct(-F.col("w"), "label")).alias("b"), F.max(F.when(F.col("label") == F.col("own"), F.col("w")).otherwise(0.0)).alias("now"))
+        best = held(best.select("id", "own", "degree", F.when(-F.col("b")["col1"] > F.col("now"), F.col("b")["label"]).alias("to")), "label")
+        wish = best.where("to is not null").select("id", "to", F.struct("degree", "id").alias("turn"))
+        if wish.isEmpty():
+            return best.select("id", F.col("own").alias("label"))
+        near = step.join(wish.select(F.col("id").alias("dst"), F.col("turn").alias("other")), "dst").groupBy(F.col("src").alias("id")).agg(F.min("other").alias("other"))
+        go = wish.join(near, "id", "left").where("other is null or turn < other").select("id", "to")
+        label = held(best.drop("to").join(go, "id", "left").select("id", "degree", F.coalesce("to", "own").alias("label")), "label")
+    raise RuntimeError(f"labels not settled after {most} rounds")

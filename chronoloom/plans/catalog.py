@@ -269,15 +269,27 @@ def p06_personalized_rank(spark, d):
     return G.personalized_rank(G.projection(_edges(spark, d)), seeds, 0.5, 3).select("id", F.round("r", 6).alias("score"))
 
 
+@query()
+def p06_personalized_rank_full(spark, d):
+    seeds = spark.createDataFrame([("user_7", 1.0)], "id string, mass double")
+    return G.settled_rank(G.projection(_edges(spark, d)), seeds, 0.5).select("id", F.round("r", 6).alias("score"))
+
+
 @query(f"WITH {_PROJECTION}, h1 AS (SELECT DISTINCT dst AS id FROM bw WHERE src = 'user_7'), h2 AS (SELECT DISTINCT dst AS id FROM bw WHERE src IN (SELECT id FROM h1)) SELECT id, min(hop)::INT AS hop FROM (SELECT 'user_7' AS id, 0 AS hop UNION ALL SELECT id, 1 FROM h1 UNION ALL SELECT id, 2 FROM h2) GROUP BY id")
 def p10_hops(spark, d):
     starts = spark.createDataFrame([("user_7",)], "id string")
     return G.hops(G.projection(_edges(spark, d)), starts, 2)
 
 
+@query(f"WITH {_PROJECTION}, h1 AS (SELECT DISTINCT dst AS id FROM bw WHERE src = 'user_7'), h2 AS (SELECT DISTINCT dst AS id FROM bw WHERE src IN (SELECT id FROM h1)), h3 AS (SELECT DISTINCT dst AS id FROM bw WHERE src IN (SELECT id FROM h2)), h4 AS (SELECT DISTINCT dst AS id FROM bw WHERE src IN (SELECT id FROM h3)), h5 AS (SELECT DISTINCT dst AS id FROM bw WHERE src IN (SELECT id FROM h4)) SELECT id, min(hop)::INT AS hop FROM (SELECT 'user_7' AS id, 0 AS hop UNION ALL SELECT id, 1 FROM h1 UNION ALL SELECT id, 2 FROM h2 UNION ALL SELECT id, 3 FROM h3 UNION ALL SELECT id, 4 FROM h4 UNION ALL SELECT id, 5 FROM h5) GROUP BY id")
+def p10_hops_full(spark, d):
+    starts = spark.createDataFrame([("user_7",)], "id string")
+    return G.hops(G.projection(_edges(spark, d)), starts)
+
+
 @query()
 def p13_communities(spark, d):
-    return G.label_rounds(G.projection(_edges(spark, d)))
+    return G.settled_labels(G.projection(_edges(spark, d)))
 
 
 # ---- lexical search, ranking, metrics
