@@ -26,7 +26,7 @@ SYMBOLS = b"#*$%&|<>"
 #: Share of word characters inside duplicated n-grams beyond which a text is rejected.
 NGRAM_LIMITS = {5: 0.40, 6: 0.39, 7: 0.38, 8: 0.37, 9: 0.36, 10: 0.35}
 #: The same for duplicated lines, and symbols for each word.
-LINE_LIMIT, SYMBOL_LIMIT = 0.45, 0.5
+LINE_LIMIT, SYMBOL_LIMIT = 0.45, 0.1
 
 SCHEMA = (
     "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, "
