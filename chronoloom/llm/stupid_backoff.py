@@ -10,8 +10,8 @@ count(trigram) / count(its first two words), or, if that count is 0, 0.4 times t
 the unigram count / words, where a word that no other document has counts as half a one. Words at the beginning start
 at the bigram or the unigram. The document's score is the mean log10 over its words.
 
-Words are ``[^\\x20\\x09-\\x0D]+``. N-grams are told apart by ``key_bits`` bits of a 64-bit hash (48 by default: two of
-100 million differ from each other with near certainty; 64 for more).
+Words are ``[^\\x20\\x09-\\x0D]+``. N-grams are told apart by ``key_bits`` bits of a 64-bit hash (all by default: of N
+n-grams about N^2 / 2^65 pairs are merged, 0.25 of 3 billion; with 48 bits it is N^2 / 2^49).
 
 Defined results: texts without words (null, empty) have a null score and 0 words; rows are scored one by one, and a
 repeated row is another document; null doc_ids keep a row; other columns are ignored; an empty table gives no rows.
@@ -97,7 +97,7 @@ def _score_block(sizes: np.ndarray, index: list[np.ndarray], totals: list[np.nda
     return [*(np.bincount(doc[x], minlength=size) for x in by), np.bincount(doc, value, size)]
 
 
-def backoff_scores(docs: DataFrame, chunk_words: int = 1 << 21, key_bits: int = 48, alpha: float = 0.4, block_words: int = 1 << 18) -> DataFrame:
+def backoff_scores(docs: DataFrame, chunk_words: int = 1 << 21, key_bits: int = 64, alpha: float = 0.4, block_words: int = 1 << 18) -> DataFrame:
     """doc_id, n_words, how many words each order scored, and the mean log10 score.
 
     Whole documents of about ``block_words`` words are scored at a time.
