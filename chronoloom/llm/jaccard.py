@@ -342,11 +342,15 @@ def jaccard_components(docs: DataFrame, n: int, num: int, den: int, block: int =
 
 
 def one_of_each(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """The documents, all columns, without those that link to one of a smaller doc_id; of rows that repeat a doc_id one stays."""
+    """The documents, all columns, without those that link to one of a smaller doc_id. Where rows repeat a doc_id, each counts
+    by its own text, in the order of doc_id and text, and of rows with the same of both one stays."""
     found = materialize(jaccard_components(docs, n, num, den), "components")
-    kept = docs.join(found.where("doc_id <> component_id").select("doc_id").distinct(), "doc_id", "left_anti").select(docs.columns)
     again = found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1")
     if again.isEmpty():
-        return kept
-    first = F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))
-    return kept.withColumn("_place", first).where("_place = 1 or doc_id is null").drop("_place")
+        return docs.join(found.where("doc_id <> component_id").select("doc_id").distinct(), "doc_id", "left_anti").select(docs.columns)
+    rows = materialize(docs.where("doc_id is not null").orderBy("doc_id", "text").withColumn("_row", F.monotonically_increasing_id()), "rows")
+    found = jaccard_components(rows.select(F.col("_row").alias("doc_id"), "text"), n, num, den)
+    kept = rows.join(found.where("doc_id <> component_id").select(F.col("doc_id").alias("_row")), "_row", "left_anti")
+    first = F.row_number().over(Window.partitionBy("doc_id", F.sha2(F.col("text").cast("binary"), 256)).orderBy("_row"))
+    kept = kept.withColumn("_place", first).where("_place = 1")
+    return kept.select(docs.columns).unionByName(docs.where("doc_id is null"))
