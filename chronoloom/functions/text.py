@@ -73,8 +73,9 @@ def redaction_tokens(s: Column) -> Column:
 
 
 def amount(raw: Column) -> Column:
-    """A sum of money as a bare number: no sign, no grouping, no empty decimals."""
+    """A sum of money as a bare number: no currency sign, grouping, exponent (up to 28 digits before the point) or empty decimals; null stays null, a minus stays."""
     v = F.regexp_replace(raw, "[,$ ]", "")
+    v = F.when(v.rlike("[0-9][eE][-+]?[0-9]"), F.coalesce(v.try_cast("decimal(38,10)").cast("string"), v)).otherwise(v)
     return F.regexp_replace(F.when(v.rlike(r"\.[0-9]*[1-9]"), F.regexp_replace(v, "0+$", "")).otherwise(F.regexp_replace(v, r"\..*$", "")), r"^0+(?=[0-9])", "")
 
 

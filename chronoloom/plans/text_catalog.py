@@ -171,6 +171,11 @@ def e23_amount(spark, d):
     return table(spark, d, "events").where("value between 0 and 100000").select("event_id", X.amount(F.concat(F.lit("$"), F.col("value").cast("string"))).alias("amount"))
 
 
+@query()
+def e23_amount_full(spark, d):
+    return table(spark, d, "events").select("event_id", X.amount(F.concat(F.lit("$"), F.col("value").cast("string"))).alias("amount"))
+
+
 @query("WITH r(event_type, rate) AS (VALUES ('click', 0.15), ('view', 0.6)) SELECT event_type, round(sum(coalesce(value, 0) * coalesce(rate, 1.0)) / 1000, 4) AS usd, count(*) AS calls FROM events LEFT JOIN r USING (event_type) GROUP BY event_type")
 def e32_usage_price(spark, d):
     rates = spark.createDataFrame([("click", 0.15), ("view", 0.6)], "event_type string, rate double")
