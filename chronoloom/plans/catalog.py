@@ -335,10 +335,15 @@ def e13_totals(spark, d):
     return j.rollup("lang", "quality").agg(F.count("*").alias("n"), F.sum("toxic").alias("toxic"), F.round(F.avg("toxic"), 6).alias("share"))
 
 
-_LANE = "CASE " + " ".join(f"WHEN regexp_matches(q, ' ({w})[a-z]* ') THEN '{n}'" for n, w in R.LANES) + " ELSE 'single' END"
+def _lane_sql() -> str:
+    rules = []
+    for name, _, sets in R.LANE_CUES:
+        parts = ["(" + " OR ".join(f"contains(q, ' {p} ')" for p in phrases) + ")" for phrases in sets]
+        rules.append(f"WHEN {' AND '.join(parts)} THEN '{name}'")
+    return f"CASE {' '.join(rules)} ELSE 'single' END"
 
 
-@query(f"WITH q AS (SELECT conv_id, turn, ' ' || regexp_replace(lower(coalesce(text, '')), '[^a-z0-9]+', ' ', 'g') || ' ' AS q FROM conversations) SELECT conv_id, turn, {_LANE} AS lane FROM q")
+@query(f"WITH q AS (SELECT conv_id, turn, ' ' || regexp_replace(lower(coalesce(text, '')), '[^a-z0-9]+', ' ', 'g') || ' ' AS q FROM conversations) SELECT conv_id, turn, {_lane_sql()} AS lane FROM q")
 def r07_lane(spark, d):
     return table(spark, d, "conversations").select("conv_id", "turn", R.lane(F.col("text")).alias("lane"))
 
