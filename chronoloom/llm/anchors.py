@@ -121,21 +121,26 @@ def region_rows(docs: DataFrame, kind: Bytes | Words) -> DataFrame:
     return docs.mapInArrow(trimmed(run), REGION)
 
 
-def with_texts(docs: DataFrame, other: DataFrame, how: str, fn: Callable[[Iterator[tuple]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    """Join per-document rows to the documents; ``fn`` gets (doc_id, text, *other columns). Texts travel compressed."""
+def squeezed(docs: DataFrame) -> DataFrame:
+    """doc_id and the text's compressed bytes; null counts as empty."""
 
-    def squeeze(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         packer = zstandard.ZstdCompressor(level=3)
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([packer.compress(t) for t in texts_of(b)], pa.binary())], names=["doc_id", "packed"])
 
+    return docs.mapInArrow(trimmed(run), "doc_id long, packed binary")
+
+
+def with_texts(docs: DataFrame, other: DataFrame, how: str, fn: Callable[[Iterator[tuple]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """Join per-document rows to the documents; ``fn`` gets (doc_id, text, *other columns). Texts travel compressed."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader = zstandard.ZstdDecompressor()
         rows = ((x[0], reader.decompress(x[1]), *x[2:]) for b in batches for x in zip(*(c.to_pylist() for c in b.columns), strict=True))
         yield from fn(rows)
 
-    small = docs.mapInArrow(trimmed(squeeze), "doc_id long, packed binary")
-    return small.join(other, "doc_id", how).select("doc_id", "packed", *[c for c in other.columns if c != "doc_id"]).mapInArrow(trimmed(run), schema)
+    return squeezed(docs).join(other.hint("merge"), "doc_id", how).select("doc_id", "packed", *[c for c in other.columns if c != "doc_id"]).mapInArrow(trimmed(run), schema)
 
 
 def spans_of(rows: DataFrame) -> DataFrame:

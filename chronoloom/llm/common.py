@@ -10,6 +10,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 MASK = (1 << 64) - 1
 
@@ -17,14 +18,16 @@ MASK = (1 << 64) - 1
 def shared_dir(spark: SparkSession, name: str) -> str:
     """A fresh path in the folder that driver and executors share.
 
-    The folder is the session's ``spark.checkpoint.dir``. Only where that is unset (tests,
-    local mode) a folder under /tmp is set for this session.
+    The folder is the session's ``spark.checkpoint.dir``. Where that is unset a folder under /tmp is set for this session,
+    in local mode only: on a cluster executors share no such folder, and this raises.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         jdir = spark.sparkContext._jsc.sc().getCheckpointDir()
         base = jdir.get() if jdir.isDefined() else None
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir has to name a folder that driver and executors share")
         base = f"/tmp/chronoloom-{os.getuid()}-{uuid.uuid4().hex[:8]}"
         spark.sparkContext.setCheckpointDir(base)
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
@@ -38,6 +41,32 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def delete_path(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that the table doesn't have, whatever the case of its letters."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def spread_join(rows: DataFrame, keyed: DataFrame, on: list[str], times: str, total: int, how: str = "inner", parts: int = 2048, least: int = 256) -> DataFrame:
+    """``rows`` joined to ``keyed``, a row for each key with how many rows have it, of ``total`` in all.
+
+    Keys of more than total / parts rows (so fewer than ``parts`` keys, however large the table) are looked up in a
+    broadcast table, and their rows stay where they are; the other keys' rows are dealt by key.
+    """
+    limit = max(least, total // parts)
+    hot = F.broadcast(keyed.where(F.col(times) > limit).drop(times))
+    cold = keyed.where(F.col(times) <= limit).drop(times)
+    rest = rows.join(F.broadcast(keyed.where(F.col(times) > limit).select(*on)), on, "left_anti")
+    return rows.join(hot, on).unionByName(rest.join(cold, on, how))
+
+
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
     """Arrow batches of whole texts stay at a few MB, in the JVM and in Python workers."""
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > rows:
@@ -139,20 +168,29 @@ def _local_forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 def connected_components(edges: DataFrame) -> DataFrame:
     """(id, component) for each id in edges (a, b); component is the least id reachable.
 
-    Large-star and small-star rounds on tables in shared storage until only stars are left. A
-    star's centre may have any number of edges: they are joined, never gathered.
+    Large-star and small-star rounds on tables in shared storage until only stars are left; a round's table goes once the
+    next is written. A star's centre may have any number of edges: they are joined (``spread_join``), never gathered.
     """
-    from pyspark.sql import functions as F
+    spark = edges.sparkSession
+
+    def keep(df: DataFrame) -> tuple[DataFrame, str]:
+        path = shared_dir(spark, "edges")
+        df.write.parquet(path)
+        return spark.read.schema("a long, b long").parquet(path), path
 
-    e = materialize(edges.selectExpr("cast(a as long) a", "cast(b as long) b").mapInArrow(trimmed(_local_forest), "a long, b long").distinct(), "edges")
+    e, path = keep(edges.selectExpr("cast(a as long) a", "cast(b as long) b").mapInArrow(trimmed(_local_forest), "a long, b long").distinct())
     while True:
         many = e.groupBy("a").count().where("count > 1").select("a")
         chained = e.select(F.col("b").alias("a")).join(e.select("a"), "a", "left_semi")
         if many.unionByName(chained).isEmpty():
             return e.selectExpr("a as id", "b as component").unionByName(e.selectExpr("b as id", "b as component").distinct())
+        total = e.count()
         both = e.unionByName(e.selectExpr("b as a", "a as b"))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.where("b > a").join(least, "a").where("b > m").selectExpr("b as a", "m as b").distinct()
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(low, "a").where("b > m").selectExpr("b as a", "m as b").unionByName(low.selectExpr("a", "m as b")).distinct()
-        e = materialize(small, "edges")
+        least = both.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")).select("a", F.least("a", "m").alias("m"), "n")
+        large, old = keep(spread_join(both.where("b > a"), least, ["a"], "n", 2 * total).where("b > m").selectExpr("b as a", "m as b").distinct())
+        low = large.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n"))
+        small = spread_join(large, low, ["a"], "n", 2 * total).where("b > m").selectExpr("b as a", "m as b").unionByName(low.selectExpr("a", "m as b")).distinct()
+        gone = path
+        e, path = keep(small)
+        delete_path(spark, gone)
+        delete_path(spark, old)

@@ -32,10 +32,12 @@ from itertools import groupby
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from chronoloom.llm.common import Union, connected_components, materialize, mix64, runs, shuffle_width, texts_of, trimmed, window_hashes
+from chronoloom.llm.anchors import squeezed
+from chronoloom.llm.common import Union, connected_components, fresh, materialize, mix64, runs, shuffle_width, spread_join, texts_of, trimmed, window_hashes
 
 K1, K2, K3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
 
@@ -295,7 +297,7 @@ class SignatureTree:
         return found
 
 
-def jaccard_components(docs: DataFrame, n: int, num: int, den: int, block: int = 4096) -> DataFrame:
+def jaccard_components(docs: DataFrame, n: int, num: int, den: int, block: int = 1024) -> DataFrame:
     """doc_id, n_shingles and component_id, where links are Jaccard similarities of at least num/den."""
     docs = docs.selectExpr("cast(doc_id as long) doc_id", "text")
 
@@ -307,9 +309,10 @@ def jaccard_components(docs: DataFrame, n: int, num: int, den: int, block: int =
     sets = materialize(docs.mapInArrow(trimmed(measure), "doc_id long, n_shingles long, digest binary"), "sets")
     near = connected_components(candidate_edges(docs, n, num, den))
     full = sets.where("digest is not null and doc_id is not null")
-    classes = full.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.max("n_shingles").alias("size"))
+    classes = full.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.max("n_shingles").alias("size"), F.count("*").alias("times"))
     clusters = full.join(near.withColumnRenamed("id", "doc_id"), "doc_id").groupBy("digest").agg(F.min("component").alias("cluster"))
-    members = materialize(classes.join(clusters, "digest"), "classes")
+    classes = materialize(classes.join(clusters, "digest", "left"), "classes")
+    members = classes.where("cluster is not null").drop("times")
     clusters_of = members.groupBy("cluster").agg(F.count("*").alias("members")).where("members > 1")
     # partners' sizes differ by at most den/num: in a large cluster a set meets its own size band and the next one
     band = F.floor(F.log(F.col("size").cast("double")) / F.log(F.lit(1.001 * den / num))).cast("int")
@@ -319,9 +322,10 @@ def jaccard_components(docs: DataFrame, n: int, num: int, den: int, block: int =
     wanted = banded.join(sizes, ["cluster", "band"]).withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
 
     def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = (r for b in batches for r in zip(*(b.column(c).to_pylist() for c in ("cluster", "band", "i", "j", "rep", "digest")), texts_of(b), strict=True))
+        reader = zstandard.ZstdDecompressor()
+        rows = (r for b in batches for r in zip(*(b.column(c).to_pylist() for c in ("cluster", "band", "i", "j", "rep", "digest", "packed")), strict=True))
         for _, group in groupby(rows, key=lambda r: r[:4]):
-            own = {r[4]: u for r in group if digest_of(u := shingles(r[6], n)) == r[5]}
+            own = {r[4]: u for r in group if digest_of(u := shingles(reader.decompress(r[6]), n)) == r[5]}
             ids, union = list(own), Union()
             for a, b in SignatureTree(list(own.values()), num, den).forest() if len(own) > 1 else ():
                 union.join(ids[a], ids[b])
@@ -330,15 +334,13 @@ def jaccard_components(docs: DataFrame, n: int, num: int, den: int, block: int =
                 yield pa.RecordBatch.from_arrays([pa.array([s[0] for s in star], pa.int64()), pa.array([s[1] for s in star], pa.int64())], names=["a", "b"])
 
     paired = (
-        docs.join(wanted, docs["doc_id"] == wanted["rep"]).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .select("cluster", "band", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "rep", "digest", "text")
+        squeezed(docs).withColumnRenamed("doc_id", "rep").join(wanted.hint("merge"), "rep").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        .select("cluster", "band", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "rep", "digest", "packed")
         .repartition("cluster", "band", "i", "j").sortWithinPartitions("cluster", "band", "i", "j", "rep")
     )
     linked = connected_components(paired.mapInArrow(trimmed(link), "a long, b long")).withColumnRenamed("id", "rep")
-    return (
-        sets.join(classes.select("digest", "rep"), "digest", "left").join(linked, "rep", "left")
-        .select("doc_id", "n_shingles", F.coalesce("component", "rep", "doc_id").alias("component_id"))
-    )
+    found = classes.join(linked, "rep", "left").select("digest", F.coalesce("component", "rep").alias("component"), "times")
+    return spread_join(sets, found, ["digest"], "times", sets.count(), "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
 
 
 def one_of_each(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> DataFrame:
@@ -348,9 +350,10 @@ def one_of_each(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> D
     again = found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1")
     if again.isEmpty():
         return docs.join(found.where("doc_id <> component_id").select("doc_id").distinct(), "doc_id", "left_anti").select(docs.columns)
-    rows = materialize(docs.where("doc_id is not null").orderBy("doc_id", "text").withColumn("_row", F.monotonically_increasing_id()), "rows")
-    found = jaccard_components(rows.select(F.col("_row").alias("doc_id"), "text"), n, num, den)
-    kept = rows.join(found.where("doc_id <> component_id").select(F.col("doc_id").alias("_row")), "_row", "left_anti")
-    first = F.row_number().over(Window.partitionBy("doc_id", F.sha2(F.col("text").cast("binary"), 256)).orderBy("_row"))
-    kept = kept.withColumn("_place", first).where("_place = 1")
+    row, place = fresh(docs, "row_number_"), fresh(docs, "place_")
+    rows = materialize(docs.where("doc_id is not null").orderBy("doc_id", "text").withColumn(row, F.monotonically_increasing_id()), "rows")
+    found = jaccard_components(rows.select(F.col(row).alias("doc_id"), "text"), n, num, den)
+    kept = rows.join(found.where("doc_id <> component_id").select(F.col("doc_id").alias(row)), row, "left_anti")
+    first = F.row_number().over(Window.partitionBy("doc_id", F.sha2(F.col("text").cast("binary"), 256)).orderBy(row))
+    kept = kept.withColumn(place, first).where(F.col(place) == 1)
     return kept.select(docs.columns).unionByName(docs.where("doc_id is null"))
