@@ -25,11 +25,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StructField, StructType
 
 from chronoloom.llm.anchors import Bytes, merged, region_rows, runs, spans_of, with_texts
-from chronoloom.llm.common import materialize, trimmed
+from chronoloom.llm.common import fresh, materialize, spread_join, trimmed
 
 #: Largest alphabet for which buckets are induced one by one.
 BUCKETS = 1024
@@ -214,7 +216,7 @@ def repeated_spans(docs: DataFrame, window: int = 400, gram: int = 64, shard_byt
     rows = materialize(region_rows(docs, Bytes(window, gram)), "regions")
     classes = materialize(rows.groupBy("fp", "digest").agg(F.min(F.struct("doc_id", "lo", "hi")).alias("rep"), F.count("*").alias("times")), "classes")
     several = classes.groupBy("fp").agg(F.count("*").alias("n")).where("n > 1").select("fp")
-    whole = rows.join(classes.where("times > 1").select("fp", "digest"), ["fp", "digest"], "left_semi").selectExpr("doc_id", "lo start", f"hi + {window} end")
+    whole = spread_join(rows, classes.where("times > 1").select("fp", "digest", "times"), ["fp", "digest"], "times", rows.count()).selectExpr("doc_id", "lo start", f"hi + {window} end")
     wanted = classes.join(several, "fp", "left_semi").select("fp", "rep.*", (F.col("times") == 1).alias("single")).groupBy("doc_id").agg(F.collect_list(F.struct("fp", "lo", "hi", "single")).alias("regions"))
 
     def slices(docs_: Iterator[tuple]) -> Iterator[pa.RecordBatch]:
@@ -291,28 +293,43 @@ def suffix_dedup(docs: DataFrame, window: int = 400, gram: int = 64, shard_bytes
     return with_texts(docs, repeated_spans(docs, window, gram, shard_bytes), "left", cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, starts array<long>, ends array<long>")
 
 
-def cut_texts(docs: DataFrame, window: int = 400) -> DataFrame:
-    """The documents, all columns, without the repeated bytes; of a character that a cut divides nothing stays. n_chars, if there, is counted anew."""
+def cut_texts(docs: DataFrame, window: int = 400, gram: int = 64) -> DataFrame:
+    """The documents, all columns, without the repeated bytes; of a character that a cut divides nothing stays. n_chars, if there, is counted anew.
+
+    Texts travel compressed. Columns of any name are carried along.
+    """
     names = docs.columns
+    place, first, last = names.index("text"), fresh(docs, "starts"), fresh(docs, "ends")
+    packed_schema = StructType([StructField(f.name, BinaryType() if f.name == "text" else f.dataType, True) for f in docs.schema])
+
+    def squeeze(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        packer = zstandard.ZstdCompressor(level=3)
+        for b in batches:
+            columns = list(b.columns)
+            columns[place] = pa.array([None if t is None else packer.compress(t) for t in b.column(place).cast(pa.binary()).to_pylist()], pa.binary())
+            yield pa.RecordBatch.from_arrays(columns, names=names)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        reader = zstandard.ZstdDecompressor()
         for b in batches:
             starts, ends = b.column(b.num_columns - 2).to_pylist(), b.column(b.num_columns - 1).to_pylist()
             texts = []
-            for text, s, e in zip(b.column(names.index("text")).to_pylist(), starts, ends, strict=True):
-                if s:
-                    data, kept, at = text.encode(), [], 0
+            for packed, s, e in zip(b.column(place).to_pylist(), starts, ends, strict=True):
+                data = None if packed is None else reader.decompress(packed)
+                if s and data is not None:
+                    kept, at = [], 0
                     for x, y in merged(s, e):
                         kept.append(data[at:x])
                         at = y
-                    text = b"".join([k.decode("utf-8", "ignore").encode() for k in [*kept, data[at:]]]).decode()
-                texts.append(text)
+                    data = b"".join([k.decode("utf-8", "ignore").encode() for k in [*kept, data[at:]]])
+                texts.append(None if data is None else data.decode())
             columns = list(b.columns[:-2])
-            columns[names.index("text")] = pa.array(texts, pa.string())
+            columns[place] = pa.array(texts, pa.string())
             if "n_chars" in names:
                 at = names.index("n_chars")
-                columns[at] = pa.array([n if s is None else len(t) for n, s, t in zip(b.column(at).to_pylist(), starts, texts, strict=True)], b.column(at).type)
+                columns[at] = pa.array([n if s is None or t is None else len(t) for n, s, t in zip(b.column(at).to_pylist(), starts, texts, strict=True)], b.column(at).type)
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    spans = repeated_spans(docs, window)
-    return docs.join(spans, "doc_id", "left").select(*[docs[c] for c in names], "starts", "ends").mapInArrow(trimmed(cut), docs.schema)
+    spans = repeated_spans(docs, window, gram).select("doc_id", F.col("starts").alias(first), F.col("ends").alias(last))
+    packed = docs.mapInArrow(trimmed(squeeze), packed_schema)
+    return packed.join(spans.hint("merge"), "doc_id", "left").select(*names, first, last).mapInArrow(trimmed(cut), docs.schema)

@@ -48,15 +48,15 @@ def test_stages(spark, tmp_path):
     seen = defaultdict(int)
     for i in ids[3]:
         b = rows[i][1].encode()
-        for j in range(len(b) - 399):
-            seen[b[j : j + 400]] += 1
+        for j in range(len(b) - 199):
+            seen[b[j : j + 200]] += 1
     want = {}
     for i in ids[3]:
         b = rows[i][1].encode()
         gone = bytearray(len(b))
-        for j in range(len(b) - 399):
-            if seen[b[j : j + 400]] > 1:
-                gone[j : j + 400] = b"\1" * 400
+        for j in range(len(b) - 199):
+            if seen[b[j : j + 200]] > 1:
+                gone[j : j + 200] = b"\1" * 200
         want[i] = bytes(c for c, g in zip(b, gone) if not g).decode()
     assert {r.doc_id: r.text for r in step[4].collect()} == want
     assert sum(len(t) for t in want.values()) < sum(len(rows[i][1]) for i in want)
