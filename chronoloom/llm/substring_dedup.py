@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chronoloom.llm.anchors import Words, merged, region_rows, spans_of, with_texts
-from chronoloom.llm.common import materialize, mix64, shared_dir, trimmed, window_hashes
+from chronoloom.llm.common import delete_path, materialize, mix64, shared_dir, spread_join, trimmed, window_hashes
 
 RUN = "fp long, digest long, rep struct<doc_id:long,lo:long,hi:long>"
 
@@ -51,14 +51,14 @@ class FingerprintIndex:
         old = self.runs
         self.runs = [self._write(self._read(old).groupBy("fp", "digest").agg(F.min("rep").alias("rep")))]
         for path in old:
-            at = self.spark._jvm.org.apache.hadoop.fs.Path(path)
-            at.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(at, True)
+            delete_path(self.spark, path)
 
     def ingest(self, batch: DataFrame, corpus: DataFrame) -> DataFrame:
         """Spans (doc_id, start, end) of words to remove from the batch; its run joins the index. ``corpus``: all texts so far."""
         kind, window = self.kind, self.kind.window
         rows = materialize(region_rows(batch, self.kind), "regions")
-        new = self._write(rows.groupBy("fp", "digest").agg(F.min(F.struct("doc_id", "lo", "hi")).alias("rep")))
+        counted = materialize(rows.groupBy("fp", "digest").agg(F.min(F.struct("doc_id", "lo", "hi")).alias("rep"), F.count("*").alias("times")), "counted")
+        new = self._write(counted.drop("times"))
         fresh = self._read([new])
         if self.runs:
             known = self._read(self.runs).join(fresh.select("fp").distinct(), "fp", "left_semi")
@@ -66,7 +66,8 @@ class FingerprintIndex:
         else:
             classes = fresh
         several = classes.groupBy("fp").agg(F.count("*").alias("n")).where("n > 1").select("fp")
-        placed = rows.join(classes.select("fp", "digest", F.col("rep.doc_id").alias("first")), ["fp", "digest"])
+        firsts = counted.select("fp", "digest", "times").join(classes.select("fp", "digest", F.col("rep.doc_id").alias("first")), ["fp", "digest"])
+        placed = spread_join(rows, firsts, ["fp", "digest"], "times", rows.count())
         whole = placed.where("first < doc_id").selectExpr("doc_id", "lo start", f"hi + {window} end")
         own = placed.where("first = doc_id").select("fp", "doc_id", "lo", "hi")
         if self.runs:  # what earlier batches have of these hashes
