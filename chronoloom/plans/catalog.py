@@ -11,7 +11,7 @@ from chronoloom.functions import keys as K
 from chronoloom.operators import facts as T
 from chronoloom.operators import graph as G
 from chronoloom.operators import ranking as R
-from chronoloom.plans import registry, text_catalog  # noqa: F401
+from chronoloom.plans import graph_catalog, registry, text_catalog  # noqa: F401
 from chronoloom.plans.registry import query
 from chronoloom.sources.tables import FACT_STREAM_SQL, chat_sessions, fact_stream, page_links, table, vectors
 
