@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -46,87 +43,26 @@ def history(facts: DataFrame, limit: int = 40) -> DataFrame:
     return once.orderBy("valid_at", "src", "rel", "dst", "invalid_at").limit(limit)
 
 
-STATE = "src string, rel string, dst string, valid_at string, invalid_at string, confidence double, belief string, episode_id string, created_at string, confirmed_by array<string>, disputed_by array<string>"
-
-
-def _fold(rows: Iterator[dict], functional: bool, symmetric: bool) -> list[dict]:
-    state: list[dict] = []
-    for r in rows:
-        src, dst, rel = r["src"], r["dst"], r["rel"]
-        if not src or not dst or not rel or src == dst:
-            continue
-        if symmetric and src > dst:
-            src, dst = dst, src
-        conf, at, ep = r["confidence"], r["at"], r["episode_id"]
-        first, until, status = r.get("valid_from") or "", r.get("valid_to") or "", r.get("status") or "asserted"
-        live = [f for f in state if f["belief"] == "asserted"]
-        same = [f for f in live if (f["src"], f["dst"], f["rel"]) == (src, dst, rel)]
-        open_ = [f for f in same if not f["invalid_at"]]
-
-        def strong(f: dict, action: str, conf: float = conf, ep: str = ep) -> bool:
-            if conf >= f["confidence"] - GATE:
-                return True
-            if (note := f"{ep}:{action}") not in f["disputed_by"]:
-                f["disputed_by"].append(note)
-            return False
-
-        def add(start: str, end: str, belief: str = "asserted", src: str = src, dst: str = dst, rel: str = rel, conf: float = conf, ep: str = ep, at: str = at) -> None:
-            state.append({"src": src, "rel": rel, "dst": dst, "valid_at": start, "invalid_at": end, "confidence": conf, "belief": belief, "episode_id": ep, "created_at": at, "confirmed_by": [], "disputed_by": []})
-
-        if status == "retracted":
-            for f in same:
-                if strong(f, "retract"):
-                    f["belief"] = "retracted"
-            if not same:
-                add(first, until, "retracted")
-            continue
-        if status == "ended":
-            for f in open_:
-                if strong(f, "close"):
-                    f["invalid_at"] = until or at
-            if not open_:
-                add(first, until or at)
-            continue
-        start = first or at
-        if functional:
-            for f in live:
-                other = f["rel"] == rel and not f["invalid_at"] and (f["src"], f["dst"]) != (src, dst)
-                touches = {f["src"], f["dst"]} & {src, dst} if symmetric else f["src"] == src
-                if other and touches and strong(f, "supersede"):
-                    f["invalid_at"] = start
-        fresh = not functional and not symmetric and first and all(f["valid_at"] and f["valid_at"] != first for f in open_)
-        if open_ and not fresh:
-            f = open_[0]
-            f["confidence"] = max(f["confidence"], conf)
-            if first:
-                f["valid_at"] = min(x for x in (f["valid_at"], first) if x)
-            f["invalid_at"] = f["invalid_at"] or until
-            if ep not in f["confirmed_by"]:
-                f["confirmed_by"].append(ep)
-        elif undated := [f for f in same if f["invalid_at"] and not f["valid_at"]]:
-            undated[0]["valid_at"] = start
-        else:
-            add(start, until)
-    return state
-
-
-def merge_facts(facts: DataFrame, functional: bool = False, symmetric: bool = False) -> DataFrame:
-    """The ordered merge of statements into facts: confirm, supersede, close, backfill, retract, dispute.
-
-    Statements have src, rel, dst, at, seq, confidence, episode_id and may have status, valid_from, valid_to. They are folded in order
-    of (at, seq) within the least key that their effects stay in.
-    """
-    if functional and symmetric:
-        key = ["rel"]
-    elif functional:
-        key = ["src", "rel"]
-    elif symmetric:
-        facts = facts.withColumn("_lo", F.least("src", "dst")).withColumn("_hi", F.greatest("src", "dst"))
-        key = ["_lo", "_hi", "rel"]
-    else:
-        key = ["src", "dst", "rel"]
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame(_fold(pdf.sort_values(["at", "seq"]).to_dict("records"), functional, symmetric), columns=[f.split()[0] for f in STATE.split(", ")])
-
-    return facts.groupBy(*key).applyInPandas(run, STATE)
+def close(facts: DataFrame, ends: DataFrame) -> DataFrame:
+    """Open facts that an end (src, rel, dst, at, episode_id) names, closed at its date by its episode; of several ends the first by date."""
+    first = ends.groupBy("src", "rel", "dst").agg(F.min(F.struct("at", F.col("episode_id").alias("by"))).alias("_e"))
+    joined = facts.join(first, ["src", "rel", "dst"], "left")
+    hit = F.col("_e").isNotNull() & (F.col("invalid_at") == "") & (F.col("belief") == "asserted")
+    return joined.withColumns({"closed_by": F.when(hit, F.col("_e.by")), "invalid_at": F.when(hit, F.col("_e.at")).otherwise(F.col("invalid_at"))}).drop("_e")
+
+
+def gated(stored: Column, incoming: Column, margin: float = GATE) -> Column:
+    """Whether a statement is too weak to change a fact."""
+    return incoming < stored - margin
+
+
+def new_fact(at: Column) -> dict[str, Column]:
+    """What a statement that opens a fact adds to its row."""
+    return {"weight": F.col("confidence"), "created_at": at, "belief": F.lit("asserted"), "invalid_at": F.lit("")}
+
+
+def rekey(edges: DataFrame, changes: DataFrame) -> DataFrame:
+    """Edges whose start (part of their key) changed: the row of the old key goes, that of the new one comes (src, dst, rel, seq, valid_at, new_valid_at)."""
+    key = ["src", "dst", "rel", "seq", "valid_at"]
+    moved = edges.join(changes, key).withColumn("valid_at", F.col("new_valid_at")).drop("new_valid_at")
+    return edges.join(changes.select(*key), key, "left_anti").unionByName(moved.select(edges.columns))

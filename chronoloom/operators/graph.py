@@ -78,13 +78,15 @@ def nearest_all(vectors: DataFrame, k: int, floor: float, block: int = 4096, wid
 
 
 def held(df: DataFrame, name: str) -> DataFrame:
-    """The rows as a table in ``spark.checkpoint.dir`` (or, where that is unset, under /tmp): lineage ends here."""
+    """The rows as a table in ``spark.checkpoint.dir`` (or, where that is unset in local mode, under /tmp): lineage ends here."""
     spark = df.sparkSession
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         at = spark.sparkContext._jsc.sc().getCheckpointDir()
         base = at.get() if at.isDefined() else None
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir has to name a folder that driver and executors share")
         base = f"/tmp/chronoloom-{os.getuid()}-{uuid.uuid4().hex[:8]}"
         spark.sparkContext.setCheckpointDir(base)
     path = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
@@ -92,6 +94,24 @@ def held(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def components(edges: DataFrame, most: int = 100) -> DataFrame:
+    """(id, component): connected components of (src, dst), each named by its least id. Raises after ``most`` rounds.
+
+    Each round a node takes the least name around it and then that node's own name, so long chains shrink fast.
+    """
+    step = held(both_ways(edges.select("src", "dst").distinct()), "step")
+    name = held(step.groupBy(F.col("src").alias("id")).agg(F.min("dst").alias("m")).select("id", F.least("id", "m").alias("component")), "name")
+    for _ in range(most):
+        around = step.join(name.withColumnRenamed("id", "dst"), "dst").groupBy(F.col("src").alias("id")).agg(F.min("component").alias("m"))
+        near = name.join(around, "id").select("id", F.least("component", "m").alias("component"), F.col("component").alias("before"))
+        far = near.join(near.select(F.col("id").alias("component"), F.col("component").alias("onward")), "component", "left")
+        new = held(far.select("id", F.least("component", F.coalesce("onward", "component")).alias("component"), "before"), "name")
+        name = new.select("id", "component")
+        if new.where("component <> before").isEmpty():
+            return name
+    raise RuntimeError(f"components not settled after {most} rounds")
+
+
 def projection(edges: DataFrame) -> DataFrame:
     """One weight for each pair: the largest within a type, summed over types."""
     w = F.greatest(F.lit(1e-4), F.col("confidence") * F.col("weight"))

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from chronoloom.functions import keys as K
+from chronoloom.operators import fact_merge as M
 from chronoloom.operators import facts as T
 from chronoloom.operators import graph as G
 from chronoloom.operators import ranking as R
@@ -103,16 +104,95 @@ def t02_find_facts(spark, d):
     return T.supersede(fact_stream(spark, d)).where("src = 'user_7' and rel = 'click' and invalid_at = ''").select("seq", "dst")
 
 
-@query()
+def _statements(spark: SparkSession, d: str) -> DataFrame:
+    status = F.when(F.col("seq") % 11 == 0, "ended").when(F.col("seq") % 17 == 0, "retracted").otherwise("asserted")
+    return fact_stream(spark, d).withColumns({"status": status, "valid_from": F.when(F.col("seq") % 5 == 0, F.substring("at", 1, 10)).otherwise(""), "valid_to": F.lit("")})
+
+
+@query(f"WITH {_SCD2}, g AS (SELECT *, sum(CASE WHEN before IS NULL OR before <> dst THEN 1 ELSE 0 END) OVER (PARTITION BY src, rel ORDER BY at, seq) AS run FROM c), n AS (SELECT src, rel, run, any_value(dst) AS dst, min(at) AS valid_at, count(DISTINCT episode_id) - 1 AS n_confirmed, max(confidence) AS confidence FROM g GROUP BY src, rel, run) SELECT src, rel, dst, valid_at, coalesce(lead(valid_at) OVER (PARTITION BY src, rel ORDER BY run), '') AS invalid_at, n_confirmed, confidence FROM n")
 def t04_merge_functional(spark, d):
-    return T.merge_facts(fact_stream(spark, d), functional=True)
+    f = M.merge_facts(fact_stream(spark, d), functional=True, margin=2.0)
+    return f.select("src", "rel", "dst", "valid_at", "invalid_at", F.size("confirmed_by").cast("long").alias("n_confirmed"), "confidence")
 
 
 @query()
 def t04_merge_repeatable(spark, d):
-    f = fact_stream(spark, d)
-    status = F.when(F.col("seq") % 11 == 0, "ended").when(F.col("seq") % 17 == 0, "retracted").otherwise("asserted")
-    return T.merge_facts(f.withColumns({"status": status, "valid_from": F.when(F.col("seq") % 5 == 0, F.substring("at", 1, 10)).otherwise(""), "valid_to": F.lit("")}))
+    return M.merge_facts(_statements(spark, d))
+
+
+@query()
+def t04_actions(spark, d):
+    return M.merge_actions(_statements(spark, d)).groupBy("rel", "action").agg(F.count("*").alias("n"))
+
+
+@query()
+def t13_incident_merge(spark, d):
+    return M.merge_facts(_statements(spark, d).where("rel in ('click', 'view')"), functional=True, symmetric=True)
+
+
+_ENDED = FACT_STREAM_SQL + ", k AS (SELECT *, CASE WHEN seq % 3 = 0 THEN 'ended' ELSE 'asserted' END AS status FROM facts), p AS (SELECT *, lag(status) OVER (PARTITION BY src, rel, dst ORDER BY at, seq) AS was, lead(status) OVER (PARTITION BY src, rel, dst ORDER BY at, seq) AS nxt, lead(at) OVER (PARTITION BY src, rel, dst ORDER BY at, seq) AS nat FROM k)"
+
+
+@query(f"WITH {_ENDED} SELECT src, rel, dst, at AS closed_at, CASE WHEN was = 'asserted' THEN 'close' ELSE 'open_closed' END AS action FROM p WHERE status = 'ended'")
+def t06_termination(spark, d):
+    s = fact_stream(spark, d).withColumn("status", F.when(F.col("seq") % 3 == 0, "ended").otherwise("asserted"))
+    did = M.merge_actions(s, margin=2.0).where("action in ('close', 'open_closed')")
+    return did.join(s.select("seq", F.col("at").alias("closed_at")), "seq").select("src", "rel", "dst", "closed_at", "action")
+
+
+@query(f"WITH {FACT_STREAM_SQL}, s AS (SELECT *, at[1:10] AS day FROM facts WHERE rel = 'click') SELECT src, rel, dst, day AS valid_at, count(DISTINCT episode_id) - 1 AS n_confirmed FROM s GROUP BY ALL")
+def t08_repeatable_occurrence(spark, d):
+    s = fact_stream(spark, d).where("rel = 'click'").withColumn("valid_from", F.substring("at", 1, 10))
+    # an occurrence of a day is confirmed by further statements of that day, if it is the first open one
+    days = M.merge_facts(s.withColumn("dst", F.concat("dst", F.lit("@"), "valid_from")), margin=2.0)
+    return days.select("src", "rel", F.regexp_replace("dst", "@.*$", "").alias("dst"), "valid_at", F.size("confirmed_by").cast("long").alias("n_confirmed"))
+
+
+@query(f"WITH {FACT_STREAM_SQL}, s AS (SELECT src, rel, dst, at, row_number() OVER (PARTITION BY src, rel, dst ORDER BY at, seq) AS n FROM facts) SELECT src, rel, dst, max(at) FILTER (n = 2) AS valid_at, max(at) FILTER (n = 1) AS invalid_at FROM s WHERE n <= 2 GROUP BY src, rel, dst HAVING count(*) = 2")
+def t09_backfill(spark, d):
+    n = F.row_number().over(Window.partitionBy("src", "rel", "dst").orderBy("at", "seq"))
+    s = fact_stream(spark, d).withColumn("n", n).where("n <= 2").withColumn("status", F.when(F.col("n") == 1, "ended").otherwise("asserted"))
+    return M.merge_facts(s, margin=2.0).where("valid_at <> ''").select("src", "rel", "dst", "valid_at", "invalid_at")
+
+
+@query(f"WITH {FACT_STREAM_SQL}, s AS (SELECT *, row_number() OVER (PARTITION BY src, rel, dst ORDER BY at, seq) AS n, count(*) OVER (PARTITION BY src, rel, dst) AS total FROM facts) SELECT src, rel, dst, CASE WHEN total = 1 THEN 'retract_new' ELSE 'retract' END AS action FROM s WHERE n = total")
+def t10_retract(spark, d):
+    w = Window.partitionBy("src", "rel", "dst")
+    s = fact_stream(spark, d).withColumns({"n": F.row_number().over(w.orderBy("at", "seq")), "total": F.count("*").over(w)})
+    s = s.withColumn("status", F.when(F.col("n") == F.col("total"), "retracted").otherwise("asserted"))
+    return M.merge_actions(s, margin=2.0).where("action like 'retract%'").select("src", "rel", "dst", "action")
+
+
+@query(f"WITH {FACT_STREAM_SQL}, p AS (SELECT seq, confidence, max(confidence) OVER (PARTITION BY src, rel ORDER BY at, seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS stored FROM facts) SELECT seq, coalesce(confidence < stored - 0.3, false) AS gated FROM p")
+def t11_gate(spark, d):
+    before = Window.partitionBy("src", "rel").orderBy("at", "seq").rowsBetween(Window.unboundedPreceding, -1)
+    return fact_stream(spark, d).select("seq", F.coalesce(T.gated(F.max("confidence").over(before), F.col("confidence")), F.lit(False)).alias("gated"))
+
+
+@query(f"WITH {FACT_STREAM_SQL}, s AS (SELECT *, row_number() OVER (PARTITION BY src, rel, dst ORDER BY at, seq) AS n FROM facts) SELECT src, rel, dst, string_agg(DISTINCT episode_id || ':close', ',' ORDER BY episode_id || ':close') AS disputed_by FROM s WHERE n > 1 GROUP BY src, rel, dst")
+def t12_dispute(spark, d):
+    n = F.row_number().over(Window.partitionBy("src", "rel", "dst").orderBy("at", "seq"))
+    s = fact_stream(spark, d).withColumn("n", n).withColumns({"status": F.when(F.col("n") == 1, "asserted").otherwise("ended"), "confidence": F.when(F.col("n") == 1, 0.9).otherwise(0.5)})
+    f = M.merge_facts(s).where(F.size("disputed_by") > 0)
+    return f.select("src", "rel", "dst", F.array_join(F.array_sort("disputed_by"), ",").alias("disputed_by"))
+
+
+@query(f"WITH {_SCD2}, e AS (SELECT src, rel, dst, min(at) AS at FROM facts WHERE seq % 13 = 0 GROUP BY ALL) SELECT w.seq, CASE WHEN w.invalid_at = '' AND e.at IS NOT NULL THEN e.at ELSE w.invalid_at END AS invalid_at, w.invalid_at = '' AND e.at IS NOT NULL AS closed FROM w LEFT JOIN e USING (src, rel, dst)")
+def t03_close(spark, d):
+    ends = fact_stream(spark, d).where("seq % 13 = 0").select("src", "rel", "dst", "at", "episode_id")
+    f = T.supersede(fact_stream(spark, d)).withColumn("belief", F.lit("asserted"))
+    return T.close(f, ends).select("seq", "invalid_at", F.col("closed_by").isNotNull().alias("closed"))
+
+
+@query(f"WITH {_SCD2} SELECT src, rel, dst, seq, CASE WHEN seq % 4 = 0 THEN valid_at[1:10] ELSE valid_at END AS valid_at FROM w")
+def t21_rekey(spark, d):
+    f = T.supersede(fact_stream(spark, d)).select("src", "rel", "dst", "seq", "valid_at")
+    return T.rekey(f, f.where("seq % 4 = 0").withColumn("new_valid_at", F.substring("valid_at", 1, 10)))
+
+
+@query(f"WITH {FACT_STREAM_SQL} SELECT seq, confidence AS weight, at AS created_at, 'asserted' AS belief, '' AS invalid_at FROM facts")
+def t24_new_fact(spark, d):
+    return fact_stream(spark, d).withColumns(T.new_fact(F.col("at"))).select("seq", "weight", "created_at", "belief", "invalid_at")
 
 
 @query(f"WITH {FACT_STREAM_SQL} SELECT src, rel, dst, min(at) AS valid_at, max(confidence) AS confidence, count(DISTINCT episode_id) AS n_episodes FROM facts GROUP BY ALL")
