@@ -138,6 +138,10 @@ def ordered_union(a: Column, b: Column) -> Column:
 def surfaces(text: Column, most: int = 3) -> Column:
     """The first runs of one to ``most`` words of a question, as keys to look up."""
     w = words(F.lower(text))
-    grams = [F.transform(F.sequence(F.lit(1), F.size(w) - (n - 1)), lambda i, n=n: F.array_join(F.slice(w, i, n), " ")) for n in range(1, most + 1)]
+
+    def runs_of(n: int) -> Column:
+        return F.transform(F.sequence(F.lit(1), F.size(w) - (n - 1)), lambda i: F.array_join(F.slice(w, i, F.lit(n)), " "))
+
+    grams = [runs_of(n) for n in range(1, most + 1)]
     parts = [F.when(F.size(w) >= n, g).otherwise(F.array().cast("array<string>")) for n, g in enumerate(grams, 1)]
     return F.array_distinct(F.concat(*parts))
