@@ -12,7 +12,7 @@ from chronoloom.operators import fact_merge as M
 from chronoloom.operators import facts as T
 from chronoloom.operators import graph as G
 from chronoloom.operators import ranking as R
-from chronoloom.plans import context_catalog, evaluation_catalog, extract_catalog, graph_catalog, registry, text_catalog  # noqa: F401
+from chronoloom.plans import context_catalog, evaluation_catalog, extract_catalog, graph_catalog, registry, source_catalog, text_catalog  # noqa: F401
 from chronoloom.plans.registry import query
 from chronoloom.sources.tables import FACT_STREAM_SQL, chat_sessions, fact_stream, page_links, table, vectors
 
