@@ -1,9 +1,12 @@
 """Stupid-backoff scores of documents, with counts from all other documents.
 
-The n-gram tables (orders 1 to 3) are partitioned by n-gram hash. Tasks explode their documents' n-grams into
-chunks; for each chunk, order and hash range one packed row holds the distinct n-grams and their counts. Each hash
-range adds up the counts of all chunks and answers each chunk with the totals of its n-grams; a chunk
-joined with its answers gives the scores, summed per document.
+The n-gram tables (orders 1 to 3) are partitioned by n-gram hash, into as many ranges as keep each at some millions of n-grams. Tasks
+explode their documents' n-grams into chunks; for each chunk, order and hash range one packed row holds the distinct n-grams and
+their counts. Each hash range adds up the counts of all chunks, one order at a time, and answers each chunk with the totals of its
+n-grams; a chunk joined with its answers gives the scores, summed per document.
+
+Chunks are made anew from the documents for the join instead of being stored or sent twice; each carries a checksum, and a
+chunk that doesn't equal the one that asked raises.
 
 A document's own occurrences are taken off all counts, so that a text doesn't vouch for itself. The score of a word is
 count(trigram) / count(its first two words), or, if that count is 0, 0.4 times the score by the bigram, likewise
@@ -19,6 +22,7 @@ repeated row is another document; null doc_ids keep a row; other columns are ign
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from itertools import groupby
 
@@ -30,10 +34,10 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chronoloom.llm.common import materialize, runs, shuffle_width, texts_of, trimmed, window_hashes
+from chronoloom.llm.common import runs, shuffle_width, texts_of, trimmed, window_hashes
 
 ORDERS = 3
-CHUNK = "chunk long, doc_ids array<long>, words long, payload binary"
+CHUNK = "chunk long, doc_ids array<long>, payload binary"
 SCHEMA = "doc_id long, n_words long, n_trigram long, n_bigram long, n_unigram long, n_unseen long, score double"
 
 
@@ -97,12 +101,18 @@ def _score_block(sizes: np.ndarray, index: list[np.ndarray], totals: list[np.nda
     return [*(np.bincount(doc[x], minlength=size) for x in by), np.bincount(doc, value, size)]
 
 
-def backoff_scores(docs: DataFrame, chunk_words: int = 1 << 21, key_bits: int = 64, alpha: float = 0.4, block_words: int = 1 << 18) -> DataFrame:
+def backoff_scores(docs: DataFrame, chunk_words: int = 1 << 21, key_bits: int = 64, alpha: float = 0.4, block_words: int = 1 << 18, range_grams: int = 1 << 23) -> DataFrame:
     """doc_id, n_words, how many words each order scored, and the mean log10 score.
 
-    Whole documents of about ``block_words`` words are scored at a time.
+    Whole documents of about ``block_words`` words are scored at a time; a hash range has about ``range_grams`` n-grams of all orders.
     """
-    width = shuffle_width(docs.sparkSession)
+    texts = docs.selectExpr("cast(doc_id as long) doc_id", "text")
+
+    def count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield pa.RecordBatch.from_arrays([pa.array([sum(len(t.split()) for batch in batches for t in texts_of(batch))], pa.int64())], names=["words"])
+
+    words = texts.select("text").mapInArrow(trimmed(count_words), "words long").agg(F.sum("words")).first()[0] or 0
+    width = max(shuffle_width(docs.sparkSession), -(-ORDERS * words // range_grams))
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = TaskContext.get().partitionId() << 32
@@ -114,7 +124,7 @@ def backoff_scores(docs: DataFrame, chunk_words: int = 1 << 21, key_bits: int =
         def flush() -> pa.RecordBatch:
             vocabulary = np.fromiter(map(xxhash.xxh3_64_intdigest, known), np.uint64, len(known))
             payload = _squeeze(_narrow(np.array(sizes, np.int64)), vocabulary, _narrow(np.array(sequence, np.int64)))
-            return pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([ids], pa.list_(pa.int64())), pa.array([len(sequence)], pa.int64()), pa.array([payload], pa.binary())], names=["chunk", "doc_ids", "words", "payload"])
+            return pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([ids], pa.list_(pa.int64())), pa.array([payload], pa.binary())], names=["chunk", "doc_ids", "payload"])
 
         for batch in batches:
             for doc_id, text in zip(batch.column(0).to_pylist(), texts_of(batch), strict=True):
@@ -130,9 +140,10 @@ def backoff_scores(docs: DataFrame, chunk_words: int = 1 << 21, key_bits: int =
             yield flush()
 
     def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["part", "order", "chunk", "payload"]
+        names = ["part", "order", "chunk", "sum", "payload"]
         for batch in batches:
             for chunk, payload in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                check = zlib.crc32(payload)
                 grams = Grams(*_unsqueeze(payload), key_bits)
                 rows: list[tuple] = []
                 for n, (keys, index) in enumerate(zip(grams.keys, grams.index, strict=True), 1):
@@ -142,42 +153,43 @@ def backoff_scores(docs: DataFrame, chunk_words: int = 1 << 21, key_bits: int =
                     for p, (a, b) in enumerate(zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)):
                         if a < b:
                             steps = np.diff(keys[a:b], prepend=np.uint64(0))
-                            rows.append((p, n, chunk, _squeeze(steps[:1], _narrow(steps[1:]), _narrow(count[a:b]))))
+                            rows.append((p, n, chunk, check, _squeeze(steps[:1], _narrow(steps[1:]), _narrow(count[a:b]))))
                 if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), pa.int32(), pa.int64(), pa.binary()), strict=True)], names=names)
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary()), strict=True)], names=names)
 
     def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        asked: dict[tuple[int, int], list[tuple[int, bytes]]] = {}
-        for batch in batches:
-            for p, n, chunk, payload in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                asked.setdefault((p, n), []).append((chunk, payload))
-        for (p, n), rows in asked.items():
-            keys, counts = [], []
-            for _, payload in rows:
+        stream = (r for batch in batches for r in zip(*(c.to_pylist() for c in batch.columns), strict=True))
+        for (p, n), group in groupby(stream, key=lambda r: r[:2]):  # one hash range and order at a time
+            rows, keys, counts = [], [], []
+            for _, _, chunk, check, payload in group:
                 head, steps, count = _unsqueeze(payload)
+                rows.append((chunk, check))
                 keys.append(np.cumsum(np.concatenate((head, steps.astype(np.uint64))), dtype=np.uint64))
                 counts.append(count.astype(np.int64))
             every = np.concatenate(keys)
             order = np.argsort(every, kind="stable")
             lo, _ = runs(every[order])
             known, sums = every[order][lo], np.add.reduceat(np.concatenate(counts)[order], lo)
-            for (chunk, _), k in zip(rows, keys, strict=True):
+            del every, order
+            for (chunk, check), k in zip(rows, keys, strict=True):
                 answer = _squeeze(_narrow(sums[np.searchsorted(known, k)]))
-                yield pa.RecordBatch.from_arrays([pa.array([chunk], pa.int64()), pa.array([n], pa.int32()), pa.array([p], pa.int32()), pa.array([None], pa.list_(pa.int64())), pa.array([answer], pa.binary())], names=["chunk", "order", "part", "doc_ids", "payload"])
+                yield pa.RecordBatch.from_arrays([pa.array([chunk], pa.int64()), pa.array([n], pa.int32()), pa.array([p], pa.int32()), pa.array([check], pa.int64()), pa.array([None], pa.list_(pa.int64())), pa.array([answer], pa.binary())], names=["chunk", "order", "part", "sum", "doc_ids", "payload"])
 
-    chunks = materialize(docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(trimmed(gather), CHUNK), "chunks")
-    words = chunks.agg(F.sum("words")).first()[0] or 0
-    asked = chunks.select("chunk", "payload").mapInArrow(trimmed(explode), "part int, order int, chunk long, payload binary").repartitionById(width, F.col("part"))
-    answers = asked.mapInArrow(trimmed(total), "chunk long, order int, part int, doc_ids array<long>, payload binary")
-    own = chunks.select("chunk", F.lit(0).alias("order"), F.lit(0).alias("part"), "doc_ids", "payload")
+    chunks = texts.mapInArrow(trimmed(gather), CHUNK)
+    asked = chunks.select("chunk", "payload").mapInArrow(trimmed(explode), "part int, order int, chunk long, sum long, payload binary").repartitionById(width, F.col("part")).sortWithinPartitions("part", "order", "chunk")
+    answers = asked.mapInArrow(trimmed(total), "chunk long, order int, part int, sum long, doc_ids array<long>, payload binary")
+    own = chunks.select("chunk", F.lit(0).alias("order"), F.lit(0).alias("part"), F.lit(0).cast("long").alias("sum"), "doc_ids", "payload")
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         stream = (r for b in batches for r in zip(*(c.to_pylist() for c in b.columns), strict=True))
         for _, group in groupby(stream, key=lambda r: r[0]):
             first, *rest = group
-            sizes, vocabulary, sequence = _unsqueeze(first[4])
+            check = zlib.crc32(first[5])
+            if first[1] or any(r[3] != check for r in rest):
+                raise RuntimeError("the documents changed between two scans: write them to a table first")
+            sizes, vocabulary, sequence = _unsqueeze(first[5])
             index = Grams(sizes, vocabulary, sequence, key_bits, with_keys=False).index
-            totals = [np.concatenate([_unsqueeze(r[4])[0] for r in rest if r[1] == n] or [np.empty(0, np.uint8)]) for n in range(1, ORDERS + 1)]
+            totals = [np.concatenate([_unsqueeze(r[5])[0] for r in rest if r[1] == n] or [np.empty(0, np.uint8)]) for n in range(1, ORDERS + 1)]
             n_words = sizes.astype(np.int64)
             ends = np.concatenate(([0], np.cumsum(n_words)))
             cut = np.unique(np.concatenate(([0], np.searchsorted(ends[1:], np.arange(block_words, ends[-1], block_words)) + 1, [len(sizes)]))).tolist()
@@ -186,7 +198,7 @@ def backoff_scores(docs: DataFrame, chunk_words: int = 1 << 21, key_bits: int =
             with np.errstate(invalid="ignore", divide="ignore"):
                 mean = logs / n_words
             yield pa.RecordBatch.from_arrays(
-                [pa.array(first[3], pa.int64()), pa.array(n_words), pa.array(by3), pa.array(by2), pa.array(by1), pa.array(n_words - by3 - by2 - by1), pa.array(np.where(n_words > 0, mean, 0.0), mask=n_words == 0)],
+                [pa.array(first[4], pa.int64()), pa.array(n_words), pa.array(by3), pa.array(by2), pa.array(by1), pa.array(n_words - by3 - by2 - by1), pa.array(np.where(n_words > 0, mean, 0.0), mask=n_words == 0)],
                 names=[f.split()[0] for f in SCHEMA.split(", ")],
             )
 
