@@ -3,11 +3,15 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from itertools import groupby
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from chronoloom.operators.facts import GATE
 from chronoloom.operators.graph import components
@@ -125,30 +129,47 @@ def _keyed(statements: DataFrame, functional: bool, symmetric: bool) -> tuple[Da
     return statements, ["src", "dst", "rel"]
 
 
+def _folded(statements: DataFrame, functional: bool, symmetric: bool, schema: str, fold: Callable[[Iterator[dict]], list[tuple]]) -> DataFrame:
+    """``fold`` over each group's statements in order. Groups follow each other in sorted partitions, so thousands of small ones cost no more than their rows."""
+    keyed, key = _keyed(statements, functional, symmetric)
+    named = keyed.withColumn("_key", F.concat_ws("\x02", *[F.coalesce(F.col(k), F.lit("")) for k in key]))
+    target = to_arrow_schema(StructType.fromDDL(schema))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        stream = (r for b in batches for r in b.to_pylist())
+        out: list[tuple] = []
+        for _, group in groupby(stream, key=lambda r: r["_key"]):
+            out += fold(group)
+            if len(out) >= 10_000:
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), target, strict=True)], schema=target)
+                out = []
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), target, strict=True)], schema=target)
+
+    return named.repartition("_key").sortWithinPartitions("_key", "at", "seq").mapInArrow(run, schema)
+
+
 def merge_facts(statements: DataFrame, functional: bool = False, symmetric: bool = False, margin: float = GATE) -> DataFrame:
     """Statements (src, rel, dst, at, seq, confidence, episode_id, and where there status, valid_from, valid_to) folded into
     facts in order of (at, seq): confirm, supersede, close, backfill, retract, dispute."""
-    keyed, key = _keyed(statements, functional, symmetric)
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+    def fold(group: Iterator[dict]) -> list[tuple]:
         merge = Merge(functional, symmetric, margin)
-        for r in pdf.sort_values(["at", "seq"]).to_dict("records"):
+        for r in group:
             merge.apply(r)
-        return pd.DataFrame(merge.facts, columns=_NAMES)
+        return [tuple(f[n] for n in _NAMES) for f in merge.facts]
 
-    return keyed.groupBy(*key).applyInPandas(run, STATE)
+    return _folded(statements, functional, symmetric, STATE, fold)
 
 
 def merge_actions(statements: DataFrame, functional: bool = False, symmetric: bool = False, margin: float = GATE) -> DataFrame:
     """What each statement does: skip, retract, retract_new, close, open_closed, dispute, confirm, backfill or open."""
-    keyed, key = _keyed(statements, functional, symmetric)
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+    def fold(group: Iterator[dict]) -> list[tuple]:
         merge = Merge(functional, symmetric, margin)
-        rows = [(r["seq"], r["src"], r["rel"], r["dst"], merge.apply(r)) for r in pdf.sort_values(["at", "seq"]).to_dict("records")]
-        return pd.DataFrame(rows, columns=[f.split()[0] for f in ACTIONS.split(", ")])
+        return [(r["seq"], r["src"], r["rel"], r["dst"], merge.apply(r)) for r in group]
 
-    return keyed.groupBy(*key).applyInPandas(run, ACTIONS)
+    return _folded(statements, functional, symmetric, ACTIONS, fold)
 
 
 def stream_actions(statements: DataFrame, functional: bool = False, margin: float = GATE) -> DataFrame:

@@ -127,15 +127,13 @@ def t04_actions(spark, d):
 
 @query()
 def t13_incident_merge(spark, d):
-    return M.merge_facts(_statements(spark, d).where("rel in ('click', 'view')"), functional=True, symmetric=True)
+    return M.merge_facts(_statements(spark, d), functional=True, symmetric=True)
 
 
-_ENDED = FACT_STREAM_SQL + ", k AS (SELECT *, CASE WHEN seq % 3 = 0 THEN 'ended' ELSE 'asserted' END AS status FROM facts), p AS (SELECT *, lag(status) OVER (PARTITION BY src, rel, dst ORDER BY at, seq) AS was, lead(status) OVER (PARTITION BY src, rel, dst ORDER BY at, seq) AS nxt, lead(at) OVER (PARTITION BY src, rel, dst ORDER BY at, seq) AS nat FROM k)"
-
-
-@query(f"WITH {_ENDED} SELECT src, rel, dst, at AS closed_at, CASE WHEN was = 'asserted' THEN 'close' ELSE 'open_closed' END AS action FROM p WHERE status = 'ended'")
+@query(f"WITH {FACT_STREAM_SQL}, s AS (SELECT *, row_number() OVER (PARTITION BY src, rel, dst ORDER BY at, seq) AS n FROM facts) SELECT src, rel, dst, at AS closed_at, CASE WHEN n = 2 THEN 'close' ELSE 'open_closed' END AS action FROM s WHERE n > 1")
 def t06_termination(spark, d):
-    s = fact_stream(spark, d).withColumn("status", F.when(F.col("seq") % 3 == 0, "ended").otherwise("asserted"))
+    n = F.row_number().over(Window.partitionBy("src", "rel", "dst").orderBy("at", "seq"))
+    s = fact_stream(spark, d).withColumn("status", F.when(n > 1, "ended").otherwise("asserted"))
     did = M.merge_actions(s, margin=2.0).where("action in ('close', 'open_closed')")
     return did.join(s.select("seq", F.col("at").alias("closed_at")), "seq").select("src", "rel", "dst", "closed_at", "action")
 
@@ -277,34 +275,18 @@ def g16_versions(spark, d):
     return table(spark, d, "documents").select("doc_id", "source", (F.row_number().over(order) - 1).cast("long").alias("version"))
 
 
-@query(f"""WITH {FACT_STREAM_SQL}, m AS (SELECT src AS member, dst || '/' || rel AS hub, max(at) AS at FROM facts GROUP BY ALL), n AS (SELECT count(DISTINCT member) AS n FROM m),
- i AS (SELECT hub, ln(1 + any_value(n) / count(DISTINCT member)) AS idf FROM m, n GROUP BY hub), l AS (SELECT *, row_number() OVER (PARTITION BY hub ORDER BY at DESC, member DESC) AS r FROM m),
- p AS (SELECT a.member AS src, b.member AS dst, count(*) AS n_hubs, sum(idf) AS w FROM l a JOIN l b ON a.hub = b.hub AND a.member < b.member AND a.r <= 16 AND b.r <= 16 JOIN i ON i.hub = a.hub GROUP BY ALL)
- SELECT src, dst, n_hubs, round(least(1.0, w / 3), 3) AS confidence, round(w, 3) AS weight FROM p""")
-def d01_shared_hubs(spark, d):
-    m = fact_stream(spark, d).select(F.col("src").alias("member"), F.concat("dst", F.lit("/"), "rel").alias("hub"), "at")
-    return G.shared_hubs(m, cap=16)
-
-
 @query(f"""WITH {FACT_STREAM_SQL}, m AS (SELECT src AS member, dst || '/' || rel AS hub, max(at) AS at FROM facts GROUP BY ALL), n AS (SELECT count(DISTINCT member) AS n FROM m),
  i AS (SELECT hub, ln(1 + any_value(n) / count(DISTINCT member)) AS idf FROM m, n GROUP BY hub), l AS (SELECT *, row_number() OVER (PARTITION BY hub ORDER BY at DESC, member DESC) AS r FROM m),
  p AS (SELECT a.member AS src, b.member AS dst, count(*) AS n_hubs, sum(idf) AS w FROM l a JOIN l b ON a.hub = b.hub AND a.member < b.member AND a.r <= 256 AND b.r <= 256 JOIN i ON i.hub = a.hub GROUP BY ALL)
  SELECT src, dst, n_hubs, round(least(1.0, w / 3), 3) AS confidence, round(w, 3) AS weight FROM p""")
-def d01_shared_hubs_full(spark, d):
+def d01_shared_hubs(spark, d):
     m = fact_stream(spark, d).select(F.col("src").alias("member"), F.concat("dst", F.lit("/"), "rel").alias("hub"), "at")
     return G.shared_hubs(m)
 
 
-@query("""WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings), s AS (SELECT a.vec_id AS src, b.vec_id AS dst, round(list_dot_product(a.e, b.e), 6) AS score FROM v a JOIN v b ON a.vec_id <> b.vec_id AND a.vec_id % 10 = 0),
- r AS (SELECT *, row_number() OVER (PARTITION BY src ORDER BY score DESC, dst) AS rank FROM s WHERE score >= 0.3) SELECT src, dst, score, rank FROM r WHERE rank <= 7""")
-def d04_nearest(spark, d):
-    v = vectors(spark, d)
-    return G.nearest(v.where("node_id % 10 = 0"), v, 7, 0.3)
-
-
 @query("""WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings), s AS (SELECT a.vec_id AS src, b.vec_id AS dst, round(list_dot_product(a.e, b.e), 6) AS score FROM v a JOIN v b ON a.vec_id <> b.vec_id),
  r AS (SELECT *, row_number() OVER (PARTITION BY src ORDER BY score DESC, dst) AS rank FROM s WHERE score >= 0.3) SELECT src, dst, score, rank FROM r WHERE rank <= 7""")
-def d04_nearest_full(spark, d):
+def d04_nearest(spark, d):
     return G.nearest_all(vectors(spark, d), 7, 0.3)
 
 
@@ -355,14 +337,8 @@ def p06_personalized_rank_full(spark, d):
     return G.settled_rank(G.projection(_edges(spark, d)), seeds, 0.5).select("id", F.round("r", 6).alias("score"))
 
 
-@query(f"WITH {_PROJECTION}, h1 AS (SELECT DISTINCT dst AS id FROM bw WHERE src = 'user_7'), h2 AS (SELECT DISTINCT dst AS id FROM bw WHERE src IN (SELECT id FROM h1)) SELECT id, min(hop)::INT AS hop FROM (SELECT 'user_7' AS id, 0 AS hop UNION ALL SELECT id, 1 FROM h1 UNION ALL SELECT id, 2 FROM h2) GROUP BY id")
-def p10_hops(spark, d):
-    starts = spark.createDataFrame([("user_7",)], "id string")
-    return G.hops(G.projection(_edges(spark, d)), starts, 2)
-
-
 @query(f"WITH {_PROJECTION}, h1 AS (SELECT DISTINCT dst AS id FROM bw WHERE src = 'user_7'), h2 AS (SELECT DISTINCT dst AS id FROM bw WHERE src IN (SELECT id FROM h1)), h3 AS (SELECT DISTINCT dst AS id FROM bw WHERE src IN (SELECT id FROM h2)), h4 AS (SELECT DISTINCT dst AS id FROM bw WHERE src IN (SELECT id FROM h3)), h5 AS (SELECT DISTINCT dst AS id FROM bw WHERE src IN (SELECT id FROM h4)) SELECT id, min(hop)::INT AS hop FROM (SELECT 'user_7' AS id, 0 AS hop UNION ALL SELECT id, 1 FROM h1 UNION ALL SELECT id, 2 FROM h2 UNION ALL SELECT id, 3 FROM h3 UNION ALL SELECT id, 4 FROM h4 UNION ALL SELECT id, 5 FROM h5) GROUP BY id")
-def p10_hops_full(spark, d):
+def p10_hops(spark, d):
     starts = spark.createDataFrame([("user_7",)], "id string")
     return G.hops(G.projection(_edges(spark, d)), starts)
 
@@ -397,15 +373,15 @@ def l03_bm25(spark, d):
 
 @query(f"WITH {_BM25}, o AS (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY id) AS rank FROM top), u AS (SELECT query_id, id, rank FROM top UNION ALL SELECT query_id, id, rank FROM o) SELECT query_id, id, round(sum(1 / (60 + rank)), 9) AS score, count(*) AS n_sources FROM u GROUP BY ALL")
 def l06_fusion(spark, d):
-    top = _search(spark, d)
-    by_id = top.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("id")))
-    return R.fuse(top, by_id)
+    # both ranks from one search
+    top = _search(spark, d).withColumn("by_id", F.row_number().over(Window.partitionBy("query_id").orderBy("id")))
+    return R.fuse(top.select("query_id", "id", F.explode(F.array("rank", "by_id")).alias("rank")))
 
 
 @query(f"WITH {_BM25}, g AS (SELECT b.item_id AS query_id, d.doc_id AS id FROM benchmark b JOIN documents d ON contains(d.text, b.text)) SELECT query_id, round(count(*) FILTER (rank <= 5) / count(*), 6) AS recall, round(coalesce(1 / min(rank), 0.0), 6) AS mrr FROM g LEFT JOIN top USING (query_id, id) GROUP BY query_id")
 def e01_recall_mrr(spark, d):
-    docs, items = table(spark, d, "documents"), table(spark, d, "benchmark")
-    gold = docs.select(F.col("doc_id").alias("id"), F.col("text").alias("body")).join(F.broadcast(items), F.contains("body", "text")).select(F.col("item_id").alias("query_id"), "id")
+    docs, items = table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text"), table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text")
+    gold = R.containing(docs, items)
     return R.retrieval_metrics(_search(spark, d), gold, 5)
 
 

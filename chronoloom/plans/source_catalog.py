@@ -109,12 +109,12 @@ def s31_list_field(spark, d):
     return _pick(spark, d, ["[a, '#b']", "#x y,z", "", "one"], "t").select("id", N.list_field(F.col("t")).alias("parts"))
 
 
-_LINKS = "nt AS (SELECT doc_id, 'v/' || source || '/' || lang || (doc_id % 40) || '.md' AS path, 'al' || doc_id AS alias FROM documents WHERE doc_id < 300), bn AS (SELECT lang || (doc_id % 40) AS k, min(path) AS path FROM nt JOIN documents USING (doc_id) GROUP BY 1)"
+_LINKS = "nt AS (SELECT doc_id, 'v/' || source || '/' || lang || (doc_id % 40) || '.md' AS path, 'al' || doc_id AS alias FROM documents), bn AS (SELECT lang || (doc_id % 40) AS k, min(path) AS path FROM nt JOIN documents USING (doc_id) GROUP BY 1)"
 
 
-@query(f"WITH {_LINKS}, l AS (SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN upper(lang) || (doc_id % 50) WHEN 1 THEN 'AL' || doc_id ELSE 'no/' || lang || (doc_id % 40) END AS target FROM documents WHERE doc_id < 300) SELECT l.doc_id AS src, target, coalesce(b.path, CASE WHEN NOT contains(target, '/') THEN a.path END) AS dst FROM l LEFT JOIN bn b ON b.k = lower(string_split(target, '/')[-1]) LEFT JOIN nt a ON a.alias = lower(target)")
+@query(f"WITH {_LINKS}, l AS (SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN upper(lang) || (doc_id % 50) WHEN 1 THEN 'AL' || doc_id ELSE 'no/' || lang || (doc_id % 40) END AS target FROM documents) SELECT l.doc_id AS src, target, coalesce(b.path, CASE WHEN NOT contains(target, '/') THEN a.path END) AS dst FROM l LEFT JOIN bn b ON b.k = lower(string_split(target, '/')[-1]) LEFT JOIN nt a ON a.alias = lower(target)")
 def s35_link_resolver(spark, d):
-    docs = table(spark, d, "documents").where("doc_id < 300")
+    docs = table(spark, d, "documents")
     at = F.concat(F.lit("v/"), "source", F.lit("/"), "lang", F.col("doc_id") % 40, F.lit(".md"))
     notes = docs.select(at.alias("path"), F.array(F.concat(F.lit("al"), "doc_id")).alias("aliases"))
     target = F.when(F.col("doc_id") % 3 == 0, F.concat(F.upper("lang"), F.col("doc_id") % 50)).when(F.col("doc_id") % 3 == 1, F.concat(F.lit("AL"), "doc_id")).otherwise(F.concat(F.lit("no/"), "lang", F.col("doc_id") % 40))
@@ -206,11 +206,11 @@ def s73_tree_sketch(spark, d):
     return RP.tree_sketch(files)
 
 
-_FILES = "lv AS (SELECT doc_id % 3 AS ref, 'f' || (doc_id % 40) AS path, 'old' || doc_id AS id FROM documents WHERE doc_id < 200), nw AS (SELECT DISTINCT ref, path, CASE WHEN id LIKE '%5' THEN id ELSE 'new_' || path END AS id FROM lv WHERE path < 'f2')"
+_FILES = "lv AS (SELECT doc_id % 3 AS ref, 'f' || (doc_id % 40) AS path, 'old' || doc_id AS id FROM documents), nw AS (SELECT DISTINCT ref, path, CASE WHEN id LIKE '%5' THEN id ELSE 'new_' || path END AS id FROM lv WHERE path < 'f2')"
 
 
 def _files(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    live = table(spark, d, "documents").where("doc_id < 200").select((F.col("doc_id") % 3).alias("ref"), F.concat(F.lit("f"), F.col("doc_id") % 40).alias("path"), F.concat(F.lit("old"), "doc_id").alias("id"))
+    live = table(spark, d, "documents").select((F.col("doc_id") % 3).alias("ref"), F.concat(F.lit("f"), F.col("doc_id") % 40).alias("path"), F.concat(F.lit("old"), "doc_id").alias("id"))
     new = live.where("path < 'f2'").select("ref", "path", F.when(F.col("id").like("%5"), F.col("id")).otherwise(F.concat(F.lit("new_"), "path")).alias("id")).distinct()
     return live, new
 
@@ -253,9 +253,9 @@ def s08_instances(spark, d):
     return CO.instances(q, s).select("question_id", F.size("sessions").cast("long").alias("n_sessions"))
 
 
-@query("WITH p AS (SELECT o_orderpriority AS kind, o_orderkey AS id, (row_number() OVER w - 0.5) / count(*) OVER (PARTITION BY o_orderpriority) AS pos FROM orders WHERE o_orderkey < 500 WINDOW w AS (PARTITION BY o_orderpriority ORDER BY o_orderkey)) SELECT id, kind, row_number() OVER (ORDER BY round(pos, 9), kind, id) AS place FROM p")
+@query("WITH p AS (SELECT o_orderpriority AS kind, o_orderkey AS id, (row_number() OVER w - 0.5) / count(*) OVER (PARTITION BY o_orderpriority) AS pos FROM orders WINDOW w AS (PARTITION BY o_orderpriority ORDER BY o_orderkey)) SELECT id, kind, row_number() OVER (ORDER BY round(pos, 9), kind, id) AS place FROM p")
 def s69_interleave(spark, d):
-    o = table(spark, d, "orders").where("o_orderkey < 500").select(F.col("o_orderpriority").alias("kind"), F.col("o_orderkey").alias("id"))
+    o = table(spark, d, "orders").select(F.col("o_orderpriority").alias("kind"), F.col("o_orderkey").alias("id"))
     return CO.interleaved(o).select("id", "kind", "place")
 
 

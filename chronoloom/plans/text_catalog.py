@@ -91,10 +91,10 @@ def x40_title(spark, d):
 # ---- keys and nodes
 
 
-@query("WITH c AS (SELECT p_partkey AS id, unnest(string_split(lower(p_name), '')) AS c FROM part), n AS (SELECT id, c, count(*) AS n FROM c GROUP BY ALL), s AS (SELECT id, n / sum(n) OVER (PARTITION BY id) AS p FROM n), e AS (SELECT id, round(-sum(p * log2(p)), 9) AS bits FROM s GROUP BY id) SELECT id, bits >= 3.0 AND length(p_name) >= 4 AS mergeable FROM e JOIN part ON p_partkey = id")
+@query("WITH k AS (SELECT p_partkey AS id, CASE WHEN length(p_name) <= 4 THEN p_name WHEN p_name LIKE '%ies' THEN p_name[:-4] || 'y' WHEN p_name LIKE '%es' AND NOT (p_name LIKE '%ses' OR p_name LIKE '%zes') THEN p_name[:-3] WHEN p_name LIKE '%s' AND NOT p_name LIKE '%ss' THEN p_name[:-2] ELSE p_name END AS key FROM part), c AS (SELECT id, unnest(string_split(key, '')) AS c FROM k), n AS (SELECT id, c, count(*) AS n FROM c GROUP BY ALL), s AS (SELECT id, n / sum(n) OVER (PARTITION BY id) AS p FROM n), e AS (SELECT id, round(-sum(p * log2(p)), 9) AS bits FROM s GROUP BY id) SELECT id, bits >= 2.0 AND length(key) >= 4 AS mergeable FROM e JOIN k USING (id)")
 def k10_entropy_guard(spark, d):
-    name = F.col("p_name")
-    return table(spark, d, "part").select(F.col("p_partkey").alias("id"), ((F.round(K.char_entropy(name), 9) >= 3.0) & (F.length(name) >= 4)).alias("mergeable"))
+    key = K.surface_key(F.col("p_name"))
+    return table(spark, d, "part").select(F.col("p_partkey").alias("id"), ((F.round(K.char_entropy(key), 9) >= 2.0) & (F.length(key) >= 4)).alias("mergeable"))
 
 
 @query(f"WITH w AS (SELECT conv_id, turn, lower(({_WORDS.format('text')})[1]) AS w FROM conversations) SELECT conv_id, turn, CASE WHEN w IN ('i', 'me', 'my', 'mine', 'myself') THEN 'entity_self' ELSE w END AS node_id FROM w")
@@ -166,13 +166,8 @@ def e16_pair_relations(spark, d):
     return p.agg(F.count("*").alias("pairs"), F.max("n").alias("most"), F.round(F.avg("n"), 3).alias("mean"))
 
 
-@query("SELECT event_id, CASE WHEN value = floor(value) THEN value::BIGINT::VARCHAR ELSE value::VARCHAR END AS amount FROM events WHERE value BETWEEN 0 AND 100000")
-def e23_amount(spark, d):
-    return table(spark, d, "events").where("value between 0 and 100000").select("event_id", X.amount(F.concat(F.lit("$"), F.col("value").cast("string"))).alias("amount"))
-
-
 @query()
-def e23_amount_full(spark, d):
+def e23_amount(spark, d):
     return table(spark, d, "events").select("event_id", X.amount(F.concat(F.lit("$"), F.col("value").cast("string"))).alias("amount"))
 
 
