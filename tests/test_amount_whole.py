@@ -12,4 +12,4 @@ def test_amounts(spark):
 
 def test_no_row_is_left_out(spark, tmp_path):
     spark.createDataFrame([(1, None), (2, -3.5), (3, 2.5e7), (4, 10.0)], "event_id long, value double").write.parquet(f"{tmp_path}/events.parquet")
-    assert {r.event_id: r.amount for r in catalog.queries()["e23_amount_full"](spark, str(tmp_path)).collect()} == {1: None, 2: "-3.5", 3: "25000000", 4: "10"}
+    assert {r.event_id: r.amount for r in catalog.queries()["e23_amount"](spark, str(tmp_path)).collect()} == {1: None, 2: "-3.5", 3: "25000000", 4: "10"}
