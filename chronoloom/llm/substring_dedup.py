@@ -57,22 +57,21 @@ class FingerprintIndex:
         """Spans (doc_id, start, end) of words to remove from the batch; its run joins the index. ``corpus``: all texts so far."""
         kind, window = self.kind, self.kind.window
         rows = materialize(region_rows(batch, self.kind), "regions")
-        counted = materialize(rows.groupBy("fp", "digest").agg(F.min(F.struct("doc_id", "lo", "hi")).alias("rep"), F.count("*").alias("times")), "counted")
-        new = self._write(counted.drop("times"))
+        new = self._write(rows.groupBy("fp", "digest").agg(F.min(F.struct("doc_id", "lo", "hi")).alias("rep")))
         fresh = self._read([new])
         if self.runs:
             known = self._read(self.runs).join(fresh.select("fp").distinct(), "fp", "left_semi")
             classes = materialize(known.unionByName(fresh).groupBy("fp", "digest").agg(F.min("rep").alias("rep")), "classes")
         else:
             classes = fresh
-        several = classes.groupBy("fp").agg(F.count("*").alias("n")).where("n > 1").select("fp")
-        firsts = counted.select("fp", "digest", "times").join(classes.select("fp", "digest", F.col("rep.doc_id").alias("first")), ["fp", "digest"])
-        placed = spread_join(rows, firsts, ["fp", "digest"], "times", rows.count())
+        several = classes.groupBy("fp").agg(F.count("*").alias("n")).where("n > 1")
+        placed = rows.join(classes.select("fp", "digest", F.col("rep.doc_id").alias("first")), ["fp", "digest"])
         whole = placed.where("first < doc_id").selectExpr("doc_id", "lo start", f"hi + {window} end")
         own = placed.where("first = doc_id").select("fp", "doc_id", "lo", "hi")
         if self.runs:  # what earlier batches have of these hashes
             own = own.unionByName(classes.select("fp", "rep.*")).distinct()
-        wanted = own.join(several, "fp", "left_semi").groupBy("doc_id").agg(F.collect_list(F.struct("lo", "hi")).alias("regions"))
+        # a common anchor has many classes: its rows stay where they are
+        wanted = spread_join(materialize(own, "own"), several, ["fp"], "n", classes.count()).groupBy("doc_id").agg(F.collect_list(F.struct("lo", "hi")).alias("regions"))
 
         def windows(docs: Iterator[tuple]) -> Iterator[pa.RecordBatch]:
             cols: list[list[np.ndarray]] = [[], [], [], []]
