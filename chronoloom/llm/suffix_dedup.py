@@ -7,9 +7,9 @@ the windows that classes share.
 
 Suffixes are sorted by induction: they are classified by comparison with their successor, the
 leftmost-smaller (LMS) substrings are sorted by a first induction, named, and sorted as a shorter
-string by recursion; a second induction gives the array. Both inductions handle a whole bucket of one leading byte at a
-time in numpy. In a recursion the alphabet is as large as the string, where buckets
-have no use; there ranks are doubled until they differ. Permuted common prefixes (each suffix against its predecessor in
+string by recursion, to the last level; a second induction gives the array. Where buckets are long, inductions handle a
+whole bucket of one leading symbol at a time in numpy; in recursions, whose alphabets are nearly as large as their strings,
+they go suffix by suffix. Both are linear. Permuted common prefixes (each suffix against its predecessor in
 the array, in text order) are compared at every 16th place and carried on from there, because they fall by
 at most one from a place to the next.
 
@@ -33,8 +33,8 @@ from pyspark.sql.types import BinaryType, StructField, StructType
 from chronoloom.llm.anchors import Bytes, merged, region_rows, runs, spans_of, with_texts
 from chronoloom.llm.common import fresh, materialize, spread_join, trimmed
 
-#: Largest alphabet for which buckets are induced one by one.
-BUCKETS = 1024
+#: Suffixes a symbol from which on whole buckets are induced at a time.
+LONG_BUCKETS = 128
 SEPARATOR = b"\xff"
 
 
@@ -106,19 +106,28 @@ def _by_symbol(symbols: np.ndarray, k: int) -> list[tuple[int, int]]:
     return list(zip(at[:-1].tolist(), at[1:].tolist(), strict=True))
 
 
-def _doubled(s: np.ndarray) -> np.ndarray:
-    """Suffixes in order by doubling ranks."""
-    n, rank, h = len(s), np.unique(s, return_inverse=True)[1].astype(np.int64), 1
-    while True:
-        second = np.zeros(n, np.int64)
-        second[: max(0, n - h)] = rank[h:] + 1
-        key = rank * (n + 1) + second
-        order = np.argsort(key, kind="stable")
-        new = np.empty(n, np.int64)
-        new[order] = np.concatenate(([0], np.cumsum(np.diff(key[order]) != 0)))
-        if new.max() == n - 1:
-            return order
-        rank, h = new, 2 * h
+def _induce_each(s: np.ndarray, smaller: np.ndarray, lms: np.ndarray, k: int) -> np.ndarray:
+    """As ``_induce``, suffix by suffix, for buckets of few suffixes."""
+    total = np.bincount(s, minlength=k)
+    end = np.cumsum(total)
+    symbol = s[lms]
+    seeded = np.full(len(s), -1, np.int64)
+    seeded[end[symbol] - np.searchsorted(symbol, symbol, "right") + np.arange(len(lms))] = lms
+    sa, text, rises = seeded.tolist(), s.tolist(), smaller.tolist()
+    to = (end - total).tolist()
+    # both loops read what they have placed further on
+    for p in sa:
+        if p > 0 and not rises[p - 1]:
+            c = text[p - 1]
+            sa[to[c]] = p - 1
+            to[c] += 1
+    to = end.tolist()
+    for p in reversed(sa):
+        if p > 0 and rises[p - 1]:
+            c = text[p - 1]
+            to[c] -= 1
+            sa[to[c]] = p - 1
+    return np.array(sa, np.int64)
 
 
 def suffix_array(s: np.ndarray) -> np.ndarray:
@@ -127,8 +136,7 @@ def suffix_array(s: np.ndarray) -> np.ndarray:
     n, k = len(s), int(s.max()) + 1
     if n <= 2:
         return np.arange(n)[::-1].copy()
-    if k > BUCKETS:
-        return _doubled(s)
+    induce = _induce if n >= LONG_BUCKETS * k else _induce_each
     # smaller than the successor: decided by the next symbol that differs
     lo, hi = runs(s)
     rises = np.append(s[hi[:-1]] > s[lo[:-1]], True)
@@ -136,8 +144,8 @@ def suffix_array(s: np.ndarray) -> np.ndarray:
     smaller[-1] = True
     lms = np.flatnonzero(smaller[1:] & ~smaller[:-1]) + 1
     if len(lms) < 2:
-        return _induce(s, smaller, lms, k)
-    first = _induce(s, smaller, lms[np.argsort(s[lms], kind="stable")], k)
+        return induce(s, smaller, lms, k)
+    first = induce(s, smaller, lms[np.argsort(s[lms], kind="stable")], k)
     is_lms = np.zeros(n, bool)
     is_lms[lms] = True
     order = first[is_lms[first]]
@@ -158,7 +166,7 @@ def suffix_array(s: np.ndarray) -> np.ndarray:
         ranked[short] = np.arange(len(lms))
     else:
         ranked = suffix_array(short)
-    return _induce(s, smaller, lms[ranked], k)
+    return induce(s, smaller, lms[ranked], k)
 
 
 def permuted_prefixes(text: bytes, sa: np.ndarray, cap: int, every: int = 16) -> tuple[np.ndarray, np.ndarray]:

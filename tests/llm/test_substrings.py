@@ -27,6 +27,17 @@ def test_suffix_array(alphabet):
                 assert min(prefix[i], 50) == min(m, 50)
 
 
+@pytest.mark.parametrize("least", [0, 1 << 30])
+def test_both_inductions(least, monkeypatch):
+    """Each induction alone, on strings whose recursion goes several levels deep."""
+    monkeypatch.setattr("chronoloom.llm.suffix_dedup.LONG_BUCKETS", least)
+    rng = np.random.default_rng(8)
+    piece = rng.integers(1, 5, 200)
+    for s in (np.tile([1, 2, 1, 3], 150), np.tile(piece, 4), np.concatenate([piece, rng.integers(1, 5, 300), piece[50:]]), np.array([2, 1] * 200), np.arange(400, 0, -1)):
+        s = np.append(s, 0)
+        assert suffix_array(s).tolist() == sorted(range(len(s)), key=lambda i: s[i:].tolist())
+
+
 def test_repeated_starts():
     rng = random.Random(1)
     parts = ["".join(rng.choice("ab") for _ in range(rng.randint(0, 60))).encode() for _ in range(30)]
