@@ -1,8 +1,8 @@
 """Toxicity scores from the nearest labelled examples by exact TF-IDF cosine.
 
 1. A bounded sample of labelled training rows (``max_examples``, those with the least hash of
-   their doc_id) gives terms that toxic texts hold far more often than others. A term is a lower-case word or the
-   beginning of one (4 to 7 letters), so inflected forms count together.
+   their doc_id) gives terms that toxic texts hold far more often than others: all that pass the test, however many.
+   A term is a lower-case word or the beginning of one (4 to 7 letters), so inflected forms count together.
 2. Inverse document frequencies of those terms are counted over all documents.
 3. The examples form an inverted index with block maxima: postings by term, cut into blocks of
    examples, with each term's largest weight in each block. A query adds up the bounds of its terms by
@@ -12,7 +12,7 @@
    examples turns votes into probabilities. Texts without any term get the share of toxic
    examples among examples without any.
 
-Only the bounded sample, its terms (``max_terms``) and the index made of both reach the driver.
+Only the bounded sample's terms and vectors and the index made of them reach the driver.
 
 Defined results: null and empty texts have no terms and get that share; rows are scored one by one,
 so repeated rows and null doc_ids keep one row each; null labels are left out, of several labels of
@@ -154,7 +154,7 @@ def held_out(doc_id: str = "doc_id"):
     return F.crc32(F.col(doc_id).cast("string")) % 5 == 0
 
 
-def fit_toxicity(docs: DataFrame, labels: DataFrame, max_examples: int = 8192, max_terms: int = 1024, k: int = 15) -> Model:
+def fit_toxicity(docs: DataFrame, labels: DataFrame, max_examples: int = 8192, k: int = 15) -> Model:
     """Fit on labelled rows that are not held out; document frequencies come from all documents."""
     spark = docs.sparkSession
     texts = docs.selectExpr("cast(doc_id as long) doc_id", "text")
@@ -185,7 +185,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, max_examples: int = 8192, m
     rate = whole["toxic"] / whole["n"] if whole["n"] else 0.0
     expected = F.col("n") * rate
     best = counted.where((F.col("term") != "") & (F.col("n") >= 4) & (F.col("toxic") >= 3 * expected)).withColumn("z", (F.col("toxic") - expected) / F.sqrt(expected + 1)).where("z >= 5")
-    terms = [r["term"] for r in best.orderBy(F.desc("z"), "term").limit(max_terms).collect()]
+    terms = [r["term"] for r in best.orderBy(F.desc("z"), "term").collect()]
 
     def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary, df, n = Vocabulary(terms), Counter(), 0
