@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -75,6 +77,11 @@ def instant(value: Column) -> Column:
     return F.coalesce(number, F.when(v.rlike("^[0-9]{4}-[0-9]{2}-[0-9]{2}"), F.try_to_timestamp(v)))
 
 
+def note_date(field: Callable[[str], Column], fallback: Column) -> Column:
+    """The first head field with a date that isn't empty, without quotes, or the fallback."""
+    return F.coalesce(*[F.nullif(F.regexp_replace(field(n), "[\"']", ""), F.lit("")) for n in ("date", "created", "created_at", "date created")], fallback)
+
+
 def header_date(at: Column) -> Column:
     return F.date_format(at, "yyyy/MM/dd (EEE) HH:mm")
 

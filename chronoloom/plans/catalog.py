@@ -12,7 +12,7 @@ from chronoloom.operators import fact_merge as M
 from chronoloom.operators import facts as T
 from chronoloom.operators import graph as G
 from chronoloom.operators import ranking as R
-from chronoloom.plans import context_catalog, evaluation_catalog, extract_catalog, graph_catalog, registry, source_catalog, text_catalog  # noqa: F401
+from chronoloom.plans import context_catalog, evaluation_catalog, extract_catalog, graph_catalog, registry, source_catalog, text_catalog, vector_catalog  # noqa: F401
 from chronoloom.plans.registry import query
 from chronoloom.sources.tables import FACT_STREAM_SQL, chat_sessions, fact_stream, page_links, table, vectors
 
@@ -446,13 +446,13 @@ def s50_page_links(spark, d):
 
 
 @query("SELECT conv_id, turn, lag(turn) OVER (PARTITION BY conv_id ORDER BY turn) AS previous FROM conversations")
-def s30_next_edges(spark, d):
+def g_next_turns(spark, d):
     order = Window.partitionBy("conv_id").orderBy("turn")
     return table(spark, d, "conversations").select("conv_id", "turn", F.lag("turn").over(order).alias("previous"))
 
 
 @query("SELECT doc_id, len(string_split(regexp_replace(text, '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1))) AS n_sentences FROM documents")
-def c03_sentences(spark, d):
+def x_sentence_counts(spark, d):
     marked = F.regexp_replace("text", "([.!?])\\s+", "$1\x01")
     return table(spark, d, "documents").select("doc_id", F.size(F.split(marked, "\x01")).cast("long").alias("n_sentences"))
 

@@ -31,7 +31,7 @@ def parsed(notes: DataFrame) -> DataFrame:
     field = lambda names: F.trim(F.regexp_extract(head, rf"(?im)^({names}):[ \t]*(.*)$", 2))
     name = F.regexp_replace(F.element_at(F.split("path", "/"), -1), r"\.md$", "")
     title = F.trim(F.regexp_extract(body, r"(?m)^# +(.+)$", 1))
-    date = F.coalesce(*[F.nullif(F.regexp_replace(field(n), "[\"']", ""), F.lit("")) for n in ("date", "created", "created_at", "date created")], F.date_format("ctime", "yyyy-MM-dd"))
+    date = N.note_date(field, F.date_format("ctime", "yyyy-MM-dd"))
     return notes.select(
         N.note_id(F.col("path")).alias("id"), "path", body.alias("body"), F.when(title != "", title).otherwise(name).alias("title"), date.alias("date"),
         N.case_distinct(F.concat(N.list_field(field("tags?")), N.inline_tags(body))).alias("tags"), N.list_field(field("aliases|alias")).alias("aliases"),
