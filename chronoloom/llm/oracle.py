@@ -7,8 +7,41 @@ from __future__ import annotations
 
 import string
 
+from chronoloom.llm.quality import LINE_LIMIT, NGRAM_LIMITS, SYMBOL_LIMIT
+
 WORD = r"[^\x20\x09-\x0D]+"
 
+OP2 = rf"""
+WITH t AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '{WORD}') AS w FROM documents),
+p AS (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS j FROM t),
+sizes AS (SELECT unnest([3, {", ".join(map(str, NGRAM_LIMITS))}]) AS n),
+v AS (SELECT doc_id, n, w, unnest(range(1, len(w) - n + 2)) AS j FROM t, sizes WHERE len(w) >= n),
+hit AS (
+  SELECT doc_id, n, j FROM (SELECT doc_id, n, j, array_to_string(w[j:j + n - 1], ' ') AS g FROM v)
+  QUALIFY count(*) OVER (PARTITION BY doc_id, n, g) > 1),
+c AS (
+  SELECT p.doc_id, sizes.n, length(p.word) AS chars, coalesce(max(hit.j) OVER (PARTITION BY p.doc_id, sizes.n ORDER BY p.j) > p.j - sizes.n, false) AS dup
+  FROM p CROSS JOIN sizes LEFT JOIN hit ON hit.doc_id = p.doc_id AND hit.n = sizes.n AND hit.j = p.j),
+share AS (
+  SELECT doc_id, sum(chars) FILTER (n = 3) AS word_chars, count(*) FILTER (dup AND n = 3) AS n_repeat_words,
+    {", ".join(f"coalesce(sum(chars) FILTER (dup AND n = {n}), 0) AS dup_{n}" for n in NGRAM_LIMITS)} FROM c GROUP BY doc_id),
+line AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM t),
+again AS (
+  SELECT doc_id, count(*) - 1 AS more, count(*) * length(regexp_replace(line, '[\x20\x09-\x0D]+', '', 'g')) AS chars
+  FROM line WHERE regexp_matches(line, '{WORD}') GROUP BY doc_id, line HAVING count(*) > 1),
+lines AS (SELECT doc_id, sum(more) AS more, sum(chars) AS chars FROM again GROUP BY doc_id),
+m AS (
+  SELECT t.doc_id, len(w) AS n_words, coalesce(word_chars, 0)::BIGINT AS word_chars, length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS n_symbols,
+    coalesce(more, 0)::BIGINT AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words,
+    {", ".join(f"coalesce(dup_{n}, 0)::DOUBLE / greatest(coalesce(word_chars, 0), 1)::DOUBLE AS dup_{n}gram_share" for n in NGRAM_LIMITS)},
+    coalesce(chars, 0)::DOUBLE / greatest(coalesce(word_chars, 0), 1)::DOUBLE AS dup_line_share
+  FROM t LEFT JOIN share ON t.doc_id = share.doc_id LEFT JOIN lines ON t.doc_id = lines.doc_id)
+SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+  NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND dup_line_share <= {LINE_LIMIT}::DOUBLE
+  AND n_symbols <= {SYMBOL_LIMIT}::DOUBLE * n_words AND {" AND ".join(f"dup_{n}gram_share <= {x}::DOUBLE" for n, x in NGRAM_LIMITS.items())} AS kept
+FROM m
+"""
+
 OP5 = rf"""
 WITH RECURSIVE t AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{string.ascii_uppercase}', '{string.ascii_lowercase}'), '{WORD}') AS w FROM documents),

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from chronoloom.llm.common import small_batches
-from chronoloom.llm.oracle import OP5, OP8, OP9
+from chronoloom.llm.oracle import OP2, OP5, OP8, OP9
 
 
 def word_bpe() -> str:
@@ -89,4 +89,4 @@ def op10_stupid_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_toxicity, op2_quality, op3_token_shards, op4_bpe, op5_jaccard, op6_lattice, op7_packing, op8_suffix_dedup, op9_substring_dedup, op10_stupid_backoff)}
-SQL: dict[str, str] = {"op5_jaccard": OP5, "op8_suffix_dedup": OP8, "op9_substring_dedup": OP9}
+SQL: dict[str, str] = {"op2_quality": OP2, "op5_jaccard": OP5, "op8_suffix_dedup": OP8, "op9_substring_dedup": OP9}
