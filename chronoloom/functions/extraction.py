@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from chronoloom.functions import keys as K
-from chronoloom.functions.text import words
+from chronoloom.functions.text import trimmed, words
 
 #: Words before a relation that say it is over.
 ENDED_PREFIX = "former|formerly|ex|no longer|used to"
@@ -28,7 +28,7 @@ OPPOSITES = [("parent", "child"), ("buy", "sell"), ("bought", "sold"), ("love",
 
 def coerced_labels(labels: Column, single: Column) -> Column:
     """The labels, each once in order; without any the single one."""
-    kept = F.array_distinct(F.filter(F.transform(F.coalesce(labels, F.array().cast("array<string>")), F.trim), lambda x: x != ""))
+    kept = F.array_distinct(F.filter(F.transform(F.coalesce(labels, F.array().cast("array<string>")), trimmed), lambda x: x != ""))
     alone = F.when(F.trim(single) != "", F.array(F.trim(single))).otherwise(F.array().cast("array<string>"))
     return F.when(F.size(kept) > 0, kept).otherwise(alone)
 
@@ -53,7 +53,7 @@ def status_of(given: Column, ended: Column) -> Column:
 def compound_parts(value: Column) -> Column:
     """The parts of a list of weekdays or numbers; all else is one part."""
     flat = F.trim(value)
-    parts = F.transform(F.split(flat, r"\s*,\s*|\s+and\s+"), F.trim)
+    parts = F.transform(F.split(flat, r"\s*,\s*|\s+and\s+"), trimmed)
     small = F.forall(parts, lambda p: (p != "") & (F.size(F.split(p, " ")) <= 2) & (F.lower(p).isin(WEEKDAYS) | p.rlike("^[0-9]+( [a-z]+)?$")))
     return F.when((F.size(parts) > 1) & small & (F.size(F.array_distinct(parts)) == F.size(parts)), parts).otherwise(F.array(flat))
 

@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from chronoloom.functions.text import trimmed
+
 IMAGE = r"\.(png|jpe?g|gif|webp|svg|bmp)$"
 #: Ours: what counts as source code, and paths that never do. A caller may give their own.
 SOURCE_SUFFIXES = "py js ts jsx tsx java kt scala go rs c h cc cpp hpp cs rb php swift m mm sh bash sql r jl lua pl hs ml ex exs erl clj dart vue svelte html css scss proto toml yaml yml".split()
@@ -46,7 +48,7 @@ def image_embeds(text: Column) -> Column:
     """Paths of embedded images in both notations, without remote and inline ones."""
     one = F.regexp_extract_all(_filled(text), F.lit(r"!\[\[([^\]|#]+)[^\]]*\]\]"), F.lit(1))
     two = F.regexp_extract_all(_filled(text), F.lit(r"!\[[^\]]*\]\(([^)\s]+)[^)]*\)"), F.lit(1))
-    return F.filter(F.transform(F.concat(one, two), F.trim), lambda p: ~F.lower(p).rlike("^(https?:|data:)"))
+    return F.filter(F.transform(F.concat(one, two), trimmed), lambda p: ~F.lower(p).rlike("^(https?:|data:)"))
 
 
 def case_distinct(items: Column) -> Column:
