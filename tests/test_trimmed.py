@@ -13,7 +13,7 @@ from chronoloom.plans import catalog
 TEXTS = ["0 a und den 0. 1 b 1. 2 c 2", "One.  Two  \n Three 2\n\n3 four 3", "\u00a0x\u3000. y\u00a0\nz.\u00a0w", "a.\x0bb.\tc.\r\nd", "0", "1. 1", "", None]
 
 
-@pytest.mark.parametrize("name", ["c03_greedy_pack", "c18_sentences"])
+@pytest.mark.parametrize("name", ["c03_greedy_pack", "c18_sentences", "f06_redact", "f05_sweep"])
 def test_sentences_as_in_sql(spark, tmp_path, name):
     df = spark.createDataFrame(list(enumerate(TEXTS)), "doc_id long, text string")
     df.coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
