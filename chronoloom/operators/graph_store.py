@@ -10,9 +10,9 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from chronoloom.functions.keys import tokens
 from chronoloom.operators.facts import active
 from chronoloom.operators.graph import both_ways, hops
+from chronoloom.operators.ranking import overlaps
 
 # ---- nodes and edges
 
@@ -177,11 +177,7 @@ def composite_document(*columns: str) -> Column:
 
 def overlap_search(docs: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """Documents by how many of their tokens a query has; ties by id."""
-    asked = queries.select("query_id", F.explode(F.array_distinct(tokens(F.col("text")))).alias("t"))
-    wanted = asked.select("t").distinct()
-    counts = docs.select("id", F.explode(tokens(F.col("text"))).alias("t")).join(wanted, "t", "left_semi").groupBy("id", "t").agg(F.count("*").alias("n"))
-    scores = asked.join(counts, "t").groupBy("query_id", "id").agg(F.sum("n").alias("score"))
-    return scores.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))).where(F.col("rank") <= k)
+    return overlaps(docs, queries, k)
 
 
 # ---- reading
