@@ -6,10 +6,14 @@ import io
 import json
 import zipfile
 from collections.abc import Iterator
+from itertools import groupby, islice
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from chronoloom.errors import InvalidInput
 from chronoloom.functions.notes import header_date
@@ -166,17 +170,39 @@ def session_items(sessions: DataFrame, conv: str) -> DataFrame:
     return sessions.withColumn("id", F.when(n == 1, name).otherwise(F.concat(name, F.format_string("#s%02d", place)))).withColumn("source_ref", F.concat(F.lit("import:"), name))
 
 
-def path_to_root(nodes: DataFrame, starts: DataFrame, most: int = 64) -> DataFrame:
-    """Ancestors of start nodes (conv_id, id) over nodes (conv_id, id, parent), with their distance; cycles end where they close."""
-    step = nodes.select("conv_id", "id", "parent")
-    here = starts.select("conv_id", F.col("id").alias("at"), F.array("id").alias("seen"))
-    out = here.select("conv_id", F.col("at").alias("id"), F.lit(0).alias("up"))
-    for n in range(1, most + 1):
-        here = here.join(step, (here["conv_id"] == step["conv_id"]) & (here["at"] == step["id"])).where("parent is not null and not array_contains(seen, parent)").select(here["conv_id"], F.col("parent").alias("at"), F.concat("seen", F.array("parent")).alias("seen"))
-        if n % 4 == 1 and here.isEmpty():
-            break
-        out = out.unionByName(here.select("conv_id", F.col("at").alias("id"), F.lit(n).alias("up")))
-    return out
+def path_to_root(nodes: DataFrame, starts: DataFrame) -> DataFrame:
+    """Ancestors of start nodes (conv_id, id) over nodes (conv_id, id, parent), with their distance; cycles end where they close. A conversation is walked where its nodes come together, however deep it is."""
+    kinds = dict(nodes.dtypes)
+    out = f"conv_id {kinds['conv_id']}, id {kinds['id']}, up int"
+    target = to_arrow_schema(StructType.fromDDL(out))
+    rows = nodes.select("conv_id", "id", F.col("parent").cast(kinds["id"]).alias("parent"), F.lit(False).alias("start"))
+    rows = rows.unionByName(starts.select("conv_id", "id", F.lit(None).cast(kinds["id"]).alias("parent"), F.lit(True).alias("start")))
+
+    def walk(conv: object, group: Iterator[dict]) -> Iterator[tuple]:
+        above: dict = {}
+        first = []
+        for r in group:
+            if r["start"]:
+                first.append(r["id"])
+            elif conv is not None and r["id"] is not None and r["parent"] is not None:
+                above.setdefault(r["id"], []).append(r["parent"])
+        for id_ in first:
+            here = [(id_, 0, {id_})]
+            while here:
+                at, up, seen = here.pop()
+                yield conv, at, up
+                onward = [p for p in above.get(at, ()) if p not in seen]
+                here += [(p, up + 1, seen | {p} if len(onward) > 1 else seen) for p in onward]
+                if len(onward) == 1:
+                    seen.add(onward[0])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        stream = (r for b in batches for r in b.to_pylist())
+        walked = (x for conv, group in groupby(stream, key=lambda r: r["conv_id"]) for x in walk(conv, group))
+        while part := list(islice(walked, 10_000)):
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*part, strict=True), target, strict=True)], schema=target)
+
+    return rows.repartition("conv_id").sortWithinPartitions("conv_id").mapInArrow(run, out)
 
 
 def role_of(role: Column) -> Column:
