@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from chronoloom.operators.graph import held
+
 EPISODES = "question_id string, session_id string, created_at string, text string, is_evidence boolean"
 QUESTIONS = "question_id string, question string, answer string, kind string, created_at string"
 
@@ -39,12 +41,21 @@ def instances(questions: DataFrame, sessions: DataFrame) -> DataFrame:
     return joined.withColumn("sessions", F.coalesce("sessions", F.filter(F.array(F.struct(F.lit(None).cast(sessions.schema["created_at"].dataType).alias("created_at"), F.lit(None).cast(sessions.schema["session_id"].dataType).alias("session_id"))), lambda x: F.lit(False))))
 
 
+def _numbered(rows: DataFrame, order: list[str], name: str) -> DataFrame:
+    """Rows with their place from 1 in an order, in ranges of that order: no task has more than a range."""
+    cut = held(rows.repartitionByRange(*order).withColumn("_p", F.spark_partition_id()), "ranges")
+    before = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)  # a row for each range
+    starts = cut.groupBy("_p").agg(F.count("*").alias("_n")).select("_p", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    placed = cut.withColumn("_r", F.row_number().over(Window.partitionBy("_p").orderBy(*order)))
+    return placed.join(F.broadcast(starts), "_p").withColumn(name, F.col("_before") + F.col("_r")).drop("_p", "_r", "_before")
+
+
 def interleaved(rows: DataFrame) -> DataFrame:
     """An order of rows (kind, id) whose every beginning has the kinds in proportion."""
-    rank = F.row_number().over(Window.partitionBy("kind").orderBy("id"))
-    pos = (rank - F.lit(0.5)) / F.count("*").over(Window.partitionBy("kind"))
-    # the list of a benchmark's questions: it is small
-    return rows.withColumn("pos", F.round(pos, 9)).withColumn("place", F.row_number().over(Window.orderBy("pos", "kind", "id")).cast("long"))
+    ranked = _numbered(rows, ["kind", "id"], "_at")
+    kinds = ranked.groupBy(F.col("kind").alias("_kind")).agg(F.count("*").alias("_n"), (F.min("_at") - 1).alias("_first"))
+    each = ranked.join(F.broadcast(kinds), F.col("kind").eqNullSafe(F.col("_kind"))).withColumn("pos", F.round((F.col("_at") - F.col("_first") - F.lit(0.5)) / F.col("_n"), 9)).drop("_at", "_kind", "_n", "_first")
+    return _numbered(each, ["pos", "kind", "id"], "place")
 
 
 def capped(sessions: DataFrame, cap: int) -> DataFrame:
