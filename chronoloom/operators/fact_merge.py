@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Callable, Iterator
-from itertools import groupby
+from itertools import groupby, islice
 
 import pandas as pd
 import pyarrow as pa
@@ -115,6 +115,128 @@ class Merge:
         return "open"
 
 
+class Bounded(Merge):
+    """The merge over connected nodes that keeps only facts a later statement can open, close or date: those open, and those closed without a start.
+
+    The others leave by ``drain``. Only a retraction can still change them, if they are closed, so retractions leave too, in order, for ``_retracted``.
+    """
+
+    def __init__(self, margin: float = GATE) -> None:
+        super().__init__(True, True, margin)
+        self.facts: dict[int, dict] = {}
+        self.next = self.place = 0
+        self.maybe: list[int] = []
+        self.out: list[dict] = []
+
+    def _add(self, f: dict) -> None:
+        i, self.next = self.next, self.next + 1
+        self.facts[i] = f
+        self.same.setdefault((f["src"], f["rel"], f["dst"]), []).append(i)
+        self.maybe.append(i)
+        if not f["invalid_at"] and f["belief"] == "asserted":
+            for end in self._ends(f):
+                self.open.setdefault(end, {})[i] = None
+
+    def _shut(self, i: int) -> None:
+        for end in self._ends(self.facts[i]):
+            at = self.open.get(end, {})
+            at.pop(i, None)
+            if not at:
+                self.open.pop(end, None)
+        self.maybe.append(i)
+
+    def _give(self, f: dict, op: int) -> None:
+        self.out.append(f | {"place": self.place, "op": op})
+        self.place += 1
+
+    def apply(self, r: dict) -> str:
+        src, dst = sorted((r["src"], r["dst"])) if r["src"] and r["dst"] else ("", "")
+        pair = (src, r["rel"], dst)
+        if src and r["rel"] and src != dst and r.get("status") == "retracted":
+            known = any(self.facts[i]["belief"] == "asserted" for i in self.same.get(pair, []))
+            said = super().apply(r) if known else ""
+            self._give({"src": src, "rel": r["rel"], "dst": dst, "valid_at": r.get("valid_from") or "", "invalid_at": r.get("valid_to") or "", "confidence": r["confidence"], "belief": "retracted", "episode_id": r["episode_id"], "created_at": r["at"], "closed_by": "", "confirmed_by": [], "disputed_by": []}, 2 if known else 1)
+        else:
+            said = super().apply(r)
+            if said == "backfill":
+                self.maybe += self.same[pair]
+        for i in self.maybe:
+            f = self.facts.get(i)
+            if f and (f["belief"] == "retracted" or f["invalid_at"] and f["valid_at"]):
+                self._leave(i)
+        self.maybe.clear()
+        return said
+
+    def _leave(self, i: int) -> None:
+        f = self.facts.pop(i)
+        key = (f["src"], f["rel"], f["dst"])
+        self.same[key].remove(i)
+        if not self.same[key]:
+            del self.same[key]
+        self._give(f, 0)
+
+    def drain(self) -> list[dict]:
+        out, self.out = self.out, []
+        return out
+
+
+def _retracted(rows: Iterator[dict], margin: float) -> Iterator[dict]:
+    """Facts (op 0) of one pair and the retractions that met none (1) or some (2) still held, in order: each retraction on the facts before it."""
+    believed: list[dict] = []
+    for r in rows:
+        if not r["op"]:
+            if r["belief"] == "asserted":
+                believed.append(r)
+            else:
+                yield r
+            continue
+        if not believed and r["op"] == 1:
+            yield r
+        left = []
+        for f in believed:
+            if r["confidence"] >= f["confidence"] - margin:
+                yield f | {"belief": "retracted"}
+                continue
+            if (note := f"{r['episode_id']}:retract") not in f["disputed_by"]:
+                f["disputed_by"].append(note)
+            left.append(f)
+        believed = left
+    yield from believed
+
+
+def _batches(rows: Iterator[dict], target: pa.Schema) -> Iterator[pa.RecordBatch]:
+    while part := list(islice(rows, 5_000)):
+        yield pa.RecordBatch.from_arrays([pa.array([r[f.name] for r in part], f.type) for f in target], schema=target)
+
+
+def _merge_connected(statements: DataFrame, margin: float) -> DataFrame:
+    """``merge_facts`` where a group is all nodes connected by a relation: facts leave the fold as soon as only retractions can change them, and meet those by pair."""
+    keyed, key = _keyed(statements, True, True)
+    named = keyed.withColumn("_key", F.concat_ws("\x02", *[F.coalesce(F.col(k), F.lit("")) for k in key]))
+    schema = f"{STATE}, place long, op int"
+    held, final = (to_arrow_schema(StructType.fromDDL(x)) for x in (schema, STATE))
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def rows() -> Iterator[dict]:
+            for _, group in groupby((r for b in batches for s in range(0, b.num_rows, 1000) for r in b.slice(s, 1000).to_pylist()), key=lambda r: r["_key"]):
+                merge = Bounded(margin)
+                for r in group:
+                    merge.apply(r)
+                    yield from merge.drain()
+                for i in list(merge.facts):
+                    merge._leave(i)
+                    yield from merge.drain()
+
+        yield from _batches(rows(), held)
+
+    def retract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        stream = (r for b in batches for s in range(0, b.num_rows, 1000) for r in b.slice(s, 1000).to_pylist())
+        yield from _batches((f for _, group in groupby(stream, key=lambda r: (r["src"], r["rel"], r["dst"])) for f in _retracted(group, margin)), final)
+
+    hot = named.repartition("_key").sortWithinPartitions("_key", "at", "seq").mapInArrow(fold, schema)
+    return hot.repartition("src", "rel", "dst").sortWithinPartitions("src", "rel", "dst", "place").mapInArrow(retract, STATE)
+
+
 def _keyed(statements: DataFrame, functional: bool, symmetric: bool) -> tuple[DataFrame, list[str]]:
     """Statements with the least key that their effects stay in."""
     if functional and symmetric:  # a statement touches facts of either end: connected nodes of a relation go together
@@ -152,6 +274,8 @@ def _folded(statements: DataFrame, functional: bool, symmetric: bool, schema: st
 def merge_facts(statements: DataFrame, functional: bool = False, symmetric: bool = False, margin: float = GATE) -> DataFrame:
     """Statements (src, rel, dst, at, seq, confidence, episode_id, and where there status, valid_from, valid_to) folded into
     facts in order of (at, seq): confirm, supersede, close, backfill, retract, dispute."""
+    if functional and symmetric:
+        return _merge_connected(statements, margin)
 
     def fold(group: Iterator[dict]) -> list[tuple]:
         merge = Merge(functional, symmetric, margin)
